@@ -31,6 +31,9 @@ def with_views(sql: str) -> str:
     if not ordered:
         return sql
     views = ",\n".join(f"{n} as ({SQL_VIEWS[n].strip()})" for n in ordered)
+    own = re.match(r"\s*with( recursive)?\s", sql)
+    if own:  # the statement brings its own views: ours go in front of them
+        return f"with{own.group(1) or ''} {views},\n{sql[own.end():].strip()}"
     return f"with {views}\n{sql.strip()}"
 
 
