@@ -137,7 +137,7 @@ def classifier(model_type: str, n_train: int, **overrides):
         return GBTClassifier(**{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                                 "featureSubsetStrategy": "0.8", "seed": fv.SEED, **common})
     if model_type == "svm":
-        return LinearSVC(**{"regParam": 1.0 / n_train, "maxIter": 2000, "standardization": False,
+        return LinearSVC(**{"regParam": 1.0 / n_train, "maxIter": 2000, "tol": 1e-5, "standardization": False,
                             "weightCol": "weight", **common})
     raise ValueError(f"unknown model type: {model_type!r}")
 
