@@ -17,6 +17,17 @@ def numeric(c: Column) -> Column:
     return F.when(s.rlike(_NUMBER), s.try_cast("double"))
 
 
+def number_column(df: DataFrame, name: str) -> Column:
+    """numeric() for text columns; a number column only loses its NaNs."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.NumericType):
+        return numeric(F.col(name))
+    as_double = F.col(name).cast("double")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(as_double), as_double)
+    return as_double
+
+
 def clip_low(c: Column, low) -> Column:
     """Lower bound that keeps NULL (greatest() would not)."""
     return F.when(c < F.lit(low), F.lit(low)).otherwise(c)

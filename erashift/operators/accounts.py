@@ -49,7 +49,7 @@ def account_features(
         return expr if name in have else F.lit(None).cast(kind)
 
     base = users.withColumns(
-        {c: if_present(c, values.numeric(F.col(c)), "double") for c in fv.COUNT_COLS}
+        {c: values.number_column(users, c) if c in have else F.lit(None).cast("double") for c in fv.COUNT_COLS}
     )
     if "created_at" in have:
         day = _literal_map(reference_date).cast("timestamp")

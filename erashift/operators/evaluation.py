@@ -29,14 +29,14 @@ def _prediction(threshold: float | None) -> Column:
     return F.col("pred") if threshold is None else (F.col("score") >= threshold).cast("int")
 
 
-def _runs(scored: DataFrame, keys: list[str]) -> DataFrame:
+def _runs(scored: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
     """Positives and negatives per key and distinct score, with a score bucket."""
     valid = scored.filter("y is not null and score is not null").withColumn("score", F.col("score").cast("double"))
-    return bucket_by_value(valid, "score").groupBy(*keys, "bucket", "score").agg(
+    return bucket_by_value(valid, "score", hot_rows=hot_rows).groupBy(*keys, "bucket", "score").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
-def auc_exact(scored: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+def auc_exact(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None) -> DataFrame:
     """ROC AUC with ties counted half; NULL if a class is missing.
 
     AUC = sum over scores of pos * (negatives below + neg / 2) / (P * N).
@@ -46,7 +46,7 @@ def auc_exact(scored: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     inside = Window.partitionBy(*keys, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     per_bucket = (
-        _runs(scored, keys).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+        _runs(scored, keys, hot_rows).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
         .groupBy(*keys, "bucket").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,10 +60,10 @@ def auc_exact(scored: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     )
 
 
-def roc_curve(scored: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+def roc_curve(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None) -> DataFrame:
     """fpr and tpr at every distinct score, from the highest down, plus the
     origin as a row with a NULL threshold."""
-    runs = _runs(scored, keys)
+    runs = _runs(scored, keys, hot_rows)
     totals = runs.groupBy(*keys, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     higher = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

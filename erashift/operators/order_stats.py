@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from erashift.operators.skew import stored_small
+from erashift.operators.skew import HOT_ROWS, is_bounded, stored_small
 
 ACCURACY = 10_000
 BUCKETS = 256
@@ -124,12 +124,15 @@ def hash_sample(df: DataFrame, n: int, key_cols: list[str], seed=42) -> DataFram
     return near.orderBy("h", *df.columns).limit(n).drop("h")
 
 
-def bucket_by_value(df: DataFrame, col: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add `bucket`, ordered ranges of col with roughly equal row counts.
+def bucket_by_value(df: DataFrame, col: str, buckets: int = BUCKETS, hot_rows: int | None = None) -> DataFrame:
+    """Add `bucket`, ordered ranges of col with roughly equal row counts (one
+    range if one task can order all rows).
 
     Cut points are approximate; equal values always share a bucket, so results
     built on top are exact.
     """
+    if is_bounded(df, hot_rows or HOT_ROWS):
+        return df.withColumn("bucket", F.lit(0.0))
     probs = [i / buckets for i in range(1, buckets)]
     found = df.approxQuantile(col, probs, 1.0 / (4 * buckets))
     cuts = sorted({c for c in found if abs(c) != float("inf")})

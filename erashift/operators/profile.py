@@ -135,7 +135,7 @@ def metadata_stats(users: DataFrame) -> DataFrame:
     rows (dataset, label, col, mean, median, std)."""
     keys = ["dataset", "label"]
     cols = [c for c in fv.COUNT_COLS if c in users.columns]
-    counts = _with_keys(users, keys).select(*keys, *[values.numeric(F.col(c)).alias(c) for c in cols])
+    counts = _with_keys(users, keys).select(*keys, *[values.number_column(users, c).alias(c) for c in cols])
     tall = counts.unpivot(keys, cols, "col", "value").groupBy(*keys, "col").agg(
         F.round(F.avg("value"), 2).alias("mean"), F.round(F.stddev_samp("value"), 2).alias("std"))
     medians = exact_quantiles(counts, keys, cols, [0.5])
@@ -145,7 +145,8 @@ def metadata_stats(users: DataFrame) -> DataFrame:
 
 def preview_features(users: DataFrame) -> DataFrame:
     """Mean follower ratio (NULL friends give NULL) and bio rate by group."""
-    ratio = F.try_divide(values.numeric(F.col("followers_count")), values.numeric(F.col("friends_count")) + 1)
+    followers, friends = (values.number_column(users, c) for c in ("followers_count", "friends_count"))
+    ratio = F.try_divide(followers, friends + 1)
     return _with_keys(users, ["dataset", "label"]).groupBy("dataset", "label").agg(
         F.round(F.avg(ratio), 3).alias("ff_ratio_preview"),
         F.round(F.avg(values.has_text(F.col("description"))), 3).alias("has_bio_preview"),

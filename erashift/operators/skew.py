@@ -13,24 +13,22 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_ERAS = 1_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys of df with more than hot_rows rows, and into how many parts to split each.
+def _rows_per(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
-    At most MAX_HOT_KEYS rows. A hot key beyond that is joined unsplit, so the
-    limit never changes a result.
+
+def hot_keys(counts: DataFrame, keys: list[str], rows: str = "_rows", hot_rows: int | None = None) -> DataFrame | None:
+    """Keys with more than hot_rows rows and into how many parts to split each,
+    from a table of row counts; None when there is none.
+
+    At most MAX_HOT_KEYS rows, stored once. A hot key beyond that is joined
+    unsplit, so the limit never changes a result.
     """
     hot_rows = hot_rows or HOT_ROWS
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
+    parts = F.ceil(F.col(rows) / hot_rows).cast("int").alias("_parts")
+    hot = cut(
+        counts.filter(F.col(rows) > hot_rows).orderBy(F.desc(rows), *keys).limit(MAX_HOT_KEYS).select(*keys, parts)
     )
-
-
-def stored_hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
-    """hot_keys() computed once for a loop; None when nothing is hot."""
-    hot = cut(hot_keys(df, keys, hot_rows))
     return None if hot.isEmpty() else hot
 
 
@@ -52,21 +50,28 @@ def salt_lookup(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def skew_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-    hot_rows: int | None = None,
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "left",
 ) -> DataFrame:
     """Join a table with hot keys to a lookup table (inner, left or left_semi)."""
-    hot = hot_keys(left, keys, hot_rows)
+    if hot is None:
+        return left.join(right, keys, how)
     return (
-        salt_rows(left, hot, keys)
-        .join(salt_lookup(right, hot, keys), [*keys, "_salt"], how)
-        .drop("_salt")
+        salt_rows(left, hot, keys).join(salt_lookup(right, hot, keys), [*keys, "_salt"], how).drop("_salt")
     )
 
 
+def skew_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", hot_rows: int | None = None,
+) -> DataFrame:
+    """salted_join() after counting the rows of every key of `left`."""
+    return salted_join(left, right, keys, hot_keys(_rows_per(left, keys), keys, hot_rows=hot_rows), how)
+
+
 def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    # a plain count: one number per task, while limit() would first move the
+    # rows it keeps of every partition to one task
+    return df.count() <= max_rows
 
 
 def lookup_join(

@@ -45,7 +45,7 @@ def graph_features(
     partitioning the grouping left behind.
     """
     edges = cut(edges_clean(edges, dataset))
-    degrees = graph_degrees(edges)
+    degrees = cut(graph_degrees(edges))
     out = (
         degrees.join(graph_reciprocity(edges), _KEY, "left")
         .join(graph_components(edges), _KEY, "left")

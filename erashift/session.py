@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME_CONF = {
@@ -62,3 +63,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle and sort a table once by the key a loop joins it on, and keep it on
+    the executors' disks in that layout.
+
+    Joins on these keys then neither move nor sort it again (a stored copy
+    would lose the layout). Lost blocks are rebuilt from the plan, so cut()
+    the input first. The caller unpersists.
+    """
+    known = df.dropna(subset=keys)
+    kept = known.repartition(*keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    return kept
