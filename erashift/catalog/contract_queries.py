@@ -82,6 +82,14 @@ def _diagnostics_sql(frame: str, cols) -> str:
         f"from {frame} group by dataset" for c in cols)
 
 
+@query("fully_null_features", """
+select col, dataset, round(1 - present / n, 3) as null_rate from ox_stats
+where col in (select col from ox_stats where present = 0)
+""")
+def fully_null_features(t):
+    return contracts.fully_null_features(stats_of(t))
+
+
 @query("validate_round1", _diagnostics_sql("ox_round1", fv.ROUND1_COLS))
 def validate_round1(t):
     return contracts.validate_round1(round1.round1_of(t))

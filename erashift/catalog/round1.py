@@ -6,7 +6,7 @@ from erashift import fixed_values as fv
 from erashift.catalog.fixtures import REFERENCE_DATE, SQL_VIEWS
 from erashift.catalog.registry import query, rounded
 from erashift.functions import text as tx
-from erashift.operators import accounts, order_stats, profile
+from erashift.operators import accounts, cleaning, order_stats, profile
 from erashift.plans.features import round1_features
 
 SQL_VIEWS["ox_accounts"] = f"""
@@ -156,6 +156,15 @@ def round1_rates(t):
     return profile.round1_rates(merged_of(t))
 
 
+@query("flag_rates", """
+select round(avg(case when starts_with(coalesce(text, ''), 'RT @') then 1 else 0 end), 3) as is_retweet_rate,
+  round(avg(case when trim(in_reply_to_user_id) not in ('', '0', 'nan', 'None') then 1 else 0 end), 3) as is_reply_rate
+from fx_tweets where user_id in (select user_id from fx_users)
+""")
+def flag_rates(t):
+    return profile.flag_rates(cleaning.normalise_tweets(t.fx_tweets.withColumnRenamed("tweet_id", "id"), t.fx_users))
+
+
 @query("tweet_sample", """
 select tweet_id, user_id, text from fx_tweets order by md5(concat('42|', tweet_id)), tweet_id limit 2500
 """)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
 from erashift.functions.ids import edge_id
-from erashift.operators.cleaning import mark_known
+from erashift.operators.cleaning import known_ids, mark_known
 
 EDGE_COLS = ["dataset", "source_id", "target_id", "relation"]
 # Which relation is kept when a pair occurs with several: follow before reply.
@@ -64,7 +64,8 @@ def edges_from_neighbors(records: DataFrame, dataset: str | None = None) -> Data
 def edges_either_known(edges: DataFrame, users: DataFrame) -> DataFrame:
     """Follow edges with at least one known end, before cleaning."""
     follow = edges.filter(F.col("relation").isin(fv.FOLLOW_RELATIONS))
-    marked = mark_known(mark_known(follow, users, "source_id", "_s"), users, "target_id", "_t")
+    ids = known_ids(users)
+    marked = mark_known(mark_known(follow, ids, "source_id", "_s"), ids, "target_id", "_t")
     return marked.filter("_s or _t").drop("_s", "_t").select(*edges.columns)
 
 
@@ -74,7 +75,8 @@ def edges_filtered_scan(edges: DataFrame, users: DataFrame, dataset: str) -> Dat
 
 def edges_both_labelled(edges: DataFrame, users: DataFrame) -> DataFrame:
     """Edges whose two ends are known."""
-    marked = mark_known(mark_known(edges, users, "source_id", "_s"), users, "target_id", "_t")
+    ids = known_ids(users)
+    marked = mark_known(mark_known(edges, ids, "source_id", "_s"), ids, "target_id", "_t")
     return marked.filter("_s and _t").drop("_s", "_t").select(*edges.columns)
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from erashift import fixed_values as fv
 from erashift.operators.order_stats import bucket_by_value
 from erashift.operators.skew import lookup_join
+from erashift.session import cut
 
 PAIR = ["train", "test"]
 
 
 def score_minmax(scores: DataFrame, keys: list[str], col: str = "score") -> DataFrame:
     """Scale a margin to 0..1 within each scored batch."""
-    bounds = scores.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    bounds = cut(scores.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
     scaled = (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + fv.SCORE_EPSILON)
     return lookup_join(scores, bounds, keys).withColumn(col, scaled).drop("_lo", "_hi")
 

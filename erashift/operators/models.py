@@ -17,7 +17,7 @@ from erashift import fixed_values as fv
 from erashift.functions.values import label_code
 from erashift.operators.evaluation import score_minmax
 from erashift.operators.order_stats import exact_quantiles, hash_cut, hash_order, melt
-from erashift.operators.skew import lookup_join
+from erashift.operators.skew import stored_small
 
 
 def labelled(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -54,9 +54,10 @@ def stratified_split(
     it is compared with one cut hash per class.
     """
     h = hash_order(seed, F.col(key))
-    cuts = hash_cut(rows.select("dataset", "y", h.alias("h")), ["dataset", "y"], split_sizes(rows, size))
+    cuts = stored_small(  # two rows per era
+        hash_cut(rows.select("dataset", "y", h.alias("h")), ["dataset", "y"], split_sizes(rows, size)))
     held = F.coalesce(h <= F.col("cut"), F.lit(False)).cast("int")
-    return lookup_join(rows, cuts, ["dataset", "y"]).withColumn("is_test", held).drop("cut")
+    return rows.join(cuts, ["dataset", "y"], "left").withColumn("is_test", held).drop("cut")
 
 
 def class_weights(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -15,12 +15,15 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+# Stored rounds of a loop are deleted once nothing refers to them.
+_START_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 
 def build_session(app_name: str = "erashift", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_RUNTIME_CONF, **conf}.items():
+    for key, value in {**_START_CONF, **_RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

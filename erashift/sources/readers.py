@@ -29,6 +29,12 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     return _known(read_text_csv(spark, path), schemas.TWEETS_CSV)
 
 
+def as_tables(frames: dict[str, DataFrame]) -> None:
+    """Make frames available to spark.sql() under their names."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
 def _known(df: DataFrame, schema: T.StructType) -> DataFrame:
     names = [c for c in schema.names if c in df.columns]
     return df.select(*names, *[c for c in df.columns if c not in names])
@@ -49,10 +55,13 @@ def read_subset_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_nested_records(spark: SparkSession, folder: str, splits: list[str] | None = None) -> DataFrame:
-    """<folder>/<split>.json, JSON arrays of records; `subset` is the split."""
+def read_nested_records(
+    spark: SparkSession, folder: str, splits: list[str] | None = None, multi_line: bool = True,
+) -> DataFrame:
+    """<folder>/<split>.json; `subset` is the split. A JSON array is one task per
+    file; JSON lines (multi_line=False) are split over tasks."""
     paths = [f"{folder}/{s}.json" for s in splits] if splits else f"{folder}/*.json"
-    raw = spark.read.schema(schemas.NESTED_RECORD).option("multiLine", True).json(paths)
+    raw = spark.read.schema(schemas.NESTED_RECORD).option("multiLine", multi_line).json(paths)
     return raw.withColumn("subset", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 
@@ -73,13 +82,11 @@ def read_pairs_csv(spark: SparkSession, path: str, second: str) -> DataFrame:
 
 
 def read_edge_csv(spark: SparkSession, path: str) -> DataFrame:
-    schema = "source_id string, relation string, target_id string"
     header = spark.read.option("header", True).csv(path).columns
     if set(header) != {"source_id", "relation", "target_id"}:
         raise ValueError(f"unexpected edge columns: {header}")
     kinds = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.schema(kinds).option("header", True).csv(path).select(
-        *[n.split()[0] for n in schema.split(", ")])
+    return spark.read.schema(kinds).option("header", True).csv(path).select("source_id", "target_id", "relation")
 
 
 # Column names that hold (source, target) in the two kinds of edge file.

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from erashift import schemas
-from erashift.operators.cleaning import v2_tweet_columns
+from erashift.operators.cleaning import known_ids, v2_tweet_columns
 from erashift.operators.skew import is_bounded
 
-MAX_STATIC_IDS = 20_000_000
+MAX_STATIC_IDS = 5_000_000
+SPREAD = 16
 
 
 def shard_stream(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -23,11 +24,14 @@ def shard_stream(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 def known_only(tweets: DataFrame, labels: DataFrame) -> DataFrame:
     """Tweets of labelled accounts. The labels are broadcast once they are known
-    to be few enough; otherwise Spark joins by shuffle."""
-    ids = labels.select("user_id").filter("user_id is not null").distinct()
+    to be few enough; otherwise both sides are shuffled, every account over
+    SPREAD parts, since a stream cannot be searched for hot accounts first."""
+    ids = known_ids(labels)
     if is_bounded(ids, MAX_STATIC_IDS):
-        ids = F.broadcast(ids)
-    return tweets.join(ids, "user_id", "left_semi")
+        return tweets.join(F.broadcast(ids), "user_id", "left_semi")
+    part = F.pmod(F.xxhash64("tweet_id"), F.lit(SPREAD)).cast("int")
+    parts = ids.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return tweets.withColumn("_part", part).join(parts, ["user_id", "_part"], "left_semi").drop("_part")
 
 
 def stream_tweet_ingest(
@@ -63,8 +67,6 @@ def stream_running_totals(
 
 def running_totals(spark: SparkSession, out: str) -> DataFrame:
     """Totals so far after each batch (one small row per shard)."""
-    from pyspark.sql import Window
-
     so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     per_batch = spark.read.parquet(out)
     return per_batch.select("batch", *[F.sum(c).over(so_far).alias(c) for c in ("tweets", "retweets", "replies")])

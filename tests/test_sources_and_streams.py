@@ -128,6 +128,20 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path, rows):
     assert len(got) == 3 and got[-1] == (4, 1, 1)
 
 
+@pytest.mark.parametrize("limit", [0, 10])
+def test_stream_join_with_many_labels(spark, tmp_path, rows, monkeypatch, limit):
+    monkeypatch.setattr(streaming, "MAX_STATIC_IDS", limit)
+    shards = tmp_path / "shards"
+    shards.mkdir()
+    for i, shard in enumerate(SHARDS):
+        (shards / f"{i}.json").write_text("\n".join(json.dumps(r) for r in shard))
+    labels = spark.createDataFrame([("u7", "bot"), ("u8", "human")], "user_id string, label string")
+    out = str(tmp_path / "out")
+    streaming.stream_tweet_ingest(
+        streaming.shard_stream(spark, str(shards)), labels, out, str(tmp_path / "state")).awaitTermination()
+    assert rows(spark.read.parquet(out), "tweet_id") == [("1",), ("2",), ("3",), ("5",)]
+
+
 def test_v2_users(spark, rows):
     raw = spark.createDataFrame(
         [("u1", "n", (1.0, 2.0, 3.0, 4.0), "http://x/default_profile_1.png"), ("u2", "m", None, None), ("u3", "o", None, None)],
