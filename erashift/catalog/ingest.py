@@ -368,7 +368,8 @@ select dataset, source_id, target_id, case when max(p) = 1 then 'follows' else '
 
 
 def _combined(t):
-    return edges.edges_combine(edges.edges_clean(t.fx_edges), edges.edges_reply(t.fx_era_tweets))
+    return edges.edges_combine(
+        edges.edges_clean(t.fx_edges, dedupe=False), edges.edges_reply(t.fx_era_tweets, dedupe=False))
 
 
 @query("edges_combine", _COMBINED)

@@ -124,6 +124,22 @@ def hash_sample(df: DataFrame, n: int, key_cols: list[str], seed=42) -> DataFram
     return near.orderBy("h", *df.columns).limit(n).drop("h")
 
 
+def dense_ids(nodes: DataFrame) -> DataFrame:
+    """Add id = 0..n-1 to distinct (dataset, user_id) rows, numbering by hash
+    range, so that no task sees all of them."""
+    ranged = nodes.withColumn("h", hash_order("id", F.col("dataset"), F.col("user_id"))).withColumn(
+        "range", F.substring("h", 1, _PREFIX))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 65 536 rows at most
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("range").orderBy("h", "dataset", "user_id")
+    return (
+        ranged.withColumn("pos", F.row_number().over(within) - 1)
+        .join(F.broadcast(offsets), "range")
+        .select(*nodes.columns, (F.col("pos") + F.col("offset")).alias("id"))
+    )
+
+
 def bucket_by_value(df: DataFrame, col: str, buckets: int = BUCKETS, hot_rows: int | None = None) -> DataFrame:
     """Add `bucket`, ordered ranges of col with roughly equal row counts (one
     range if one task can order all rows).

@@ -14,14 +14,14 @@ def edges_for_dataset(
 ) -> DataFrame:
     """Follow edges of the era (if it has any) and reply edges (if tweets are given)."""
     if dataset == "cresci_2015":
-        follow = edges_clean(readers.read_edge_dirs(spark, raw_graph), dataset)
+        follow = edges_clean(readers.read_edge_dirs(spark, raw_graph), dataset, dedupe=False)
     elif dataset == "cresci_2017":
         follow = None  # this release has no follow graph
     elif dataset == "twibot_2020":
-        follow = edges_from_neighbors(readers.read_nested_records(spark, raw_graph), dataset)
+        follow = edges_from_neighbors(readers.read_nested_records(spark, raw_graph), dataset, dedupe=False)
     elif dataset == "twibot_2022":
-        follow = edges_filtered_scan(readers.read_edge_csv(spark, raw_graph), users, dataset)
+        follow = edges_filtered_scan(readers.read_edge_csv(spark, raw_graph), users, dataset, dedupe=False)
     else:
         raise ValueError(f"unknown dataset name: {dataset}")
-    reply = edges_reply(tweets, dataset) if tweets is not None else None
+    reply = edges_reply(tweets, dataset, dedupe=False) if tweets is not None else None
     return edges_combine(follow, reply)
