@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,26 @@ def graph_features(
 ) -> DataFrame:
     """The 17 graph columns per node; parts switched off are NULL.
 
-    All parts are keyed by (dataset, user_id), so the left joins reuse the
-    partitioning the grouping left behind.
+    The looping parts do not depend on each other, so their jobs run side by
+    side and fill each other's gaps.
     """
     edges = cut(edges_clean(edges, dataset))
     degrees = cut(graph_degrees(edges))
-    out = (
-        degrees.join(graph_reciprocity(edges), _KEY, "left")
-        .join(graph_components(edges), _KEY, "left")
-        .join(graph_neighbor_agg(edges, degrees), _KEY, "left")
-    )
+    parts = [
+        lambda: graph_reciprocity(edges),
+        lambda: graph_components(edges),
+        lambda: graph_neighbor_agg(edges, degrees),
+    ]
     if include_pagerank:
-        out = out.join(graph_pagerank(edges), _KEY, "left").fillna(0, subset=["graph_pagerank_sampled"])
+        parts.append(lambda: graph_pagerank(edges))
     if include_ego:
-        out = out.join(graph_ego_density(edges), _KEY, "left")
+        parts.append(lambda: graph_ego_density(edges))
+    out = degrees
+    with ThreadPoolExecutor(len(parts)) as pool:
+        for part in pool.map(lambda build: build(), parts):
+            out = out.join(part, _KEY, "left")
+    if include_pagerank:
+        out = out.fillna(0, subset=["graph_pagerank_sampled"])
     out = out.fillna(0, subset=fv.GRAPH_ZERO_COLS)
     return out.select(*_KEY, *[
         F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in fv.GRAPH_COLS
