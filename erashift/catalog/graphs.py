@@ -26,7 +26,9 @@ SQL_VIEWS["ox_neighbors"] = """
 select v.dataset, v.me as user_id, avg(d.graph_in_degree) as graph_neighbor_avg_in_degree,
   avg(d.graph_out_degree) as graph_neighbor_avg_out_degree, avg(d.graph_degree_total) as graph_neighbor_avg_degree_total,
   avg(d.graph_ff_ratio) as graph_neighbor_avg_ff_ratio,
-  coalesce(stddev_samp(d.graph_degree_total), 0) as graph_neighbor_std_degree_total
+  case when count(*) > 1 then sqrt((count(*) * sum(d.graph_degree_total * d.graph_degree_total)
+      - sum(d.graph_degree_total) * sum(d.graph_degree_total))::double / (count(*) * (count(*) - 1))::double)
+    else 0.0::double end as graph_neighbor_std_degree_total
 from (select dataset, source_id as me, target_id as other from fx_edges
       union all select dataset, target_id, source_id from fx_edges) v
 join ox_degrees d on d.dataset = v.dataset and d.user_id = v.other group by v.dataset, v.me
