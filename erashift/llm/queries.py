@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import session
-from erashift.llm import exact_dedup, mixing, sharding
+from erashift.llm import exact_dedup, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,30 @@ from q, f
 def op9(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@query("op10_line_dedup", f"""
+with l as (select doc_id, pos, line,
+                  translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {ASCII_LOWER}) as key
+           from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents)),
+k as (select key, min(doc_id) as first from l where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select l.*, k.key is not null and l.doc_id > k.first as dropped from l left join k using (key))
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from m group by doc_id
+""")
+def op10(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
