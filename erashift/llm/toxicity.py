@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from erashift.llm.labelled import MAX_TRAIN_ROWS, remainder, remainder_of, score_rows, training_rows
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.5
-BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 17, 8, 80, 0.05, 1e-6
+BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 20, 8, 250, 0.05, 1e-5
+MIN_Z, MIN_TEXTS = 4.0, 3
 GRAMS = (3, 4, 5)
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 300_000
@@ -36,11 +37,13 @@ def gram_buckets(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
 
 
-def _mean_matrix(rows: list[list[int]]):
-    """Index, weight and row starts of a row-averaging sparse matrix; every row has an entry."""
+def _mean_matrix(rows: list[list[int]], sizes: list[int]):
+    """Index, weights, row starts and row lengths of a sparse matrix that averages over sizes[i]
+    entries, of which rows[i] lists those that are not zero; no row is empty."""
     index = np.fromiter((i for r in rows for i in r), np.int64)
     lengths = np.array([len(r) for r in rows])
-    return index, np.repeat(np.float32(1) / lengths.astype(np.float32), lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    return index, np.repeat(1 / np.array(sizes, np.float32), lengths), starts, lengths
 
 
 def _times(m, x: np.ndarray) -> np.ndarray:
@@ -90,41 +93,82 @@ class ToxicityModel:
         return score
 
 
+def telling_grams(bags: list[list[str]], label: np.ndarray) -> np.ndarray:
+    """Mask of the n-gram buckets whose share of texts differs between the classes.
+
+    Only these get a vector of their own; all others keep zero, so that thousands
+    of chance n-grams don't add up in a long text.
+    """
+    n1 = int(label.sum())
+    n0 = len(label) - n1
+    seen = np.zeros((2, BUCKETS))
+    of_word: dict[str, list[int]] = {}
+    for bag, y in zip(bags, label):
+        grams = [g for w in bag for g in (of_word.get(w) or of_word.setdefault(w, gram_buckets(w)))]
+        seen[y, np.unique(np.array(grams, np.int64))] += 1
+    p = seen.sum(0) / len(label)
+    z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return (np.abs(z) >= MIN_Z) & (seen.sum(0) >= MIN_TEXTS)
+
+
 def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together, both classes weighing the same.
 
-    Without both classes the model answers the share of label 1 (0 if there is no label).
+    Without both classes, or without a telling n-gram, the model answers the share
+    of label 1 (0 if there is no label).
     """
+    share = min(max(float(np.mean(y)) if y else 0.0, 1e-9), 1 - 1e-9)
+    constant = ToxicityModel(np.zeros(BUCKETS, np.float32), math.log(share / (1 - share)))
     bags = [words_of(t) for t in texts]
     full = [i for i, b in enumerate(bags) if b]
     label = np.array(y, np.int64)[full] if full else np.empty(0, np.int64)
     if len(np.unique(label)) < 2:
-        share = min(max(float(np.mean(y)) if y else 0.0, 1e-9), 1 - 1e-9)
-        return ToxicityModel(np.zeros(BUCKETS), math.log(share / (1 - share)))
+        return constant
+    keep = telling_grams([bags[i] for i in full], label)
+    used = np.flatnonzero(keep)
+    if not len(used):
+        return constant
+    compact = np.cumsum(keep) - 1
     number: dict[str, int] = {}
-    doc_words = _mean_matrix([[number.setdefault(w, len(number)) for w in bags[i]] for i in full])
-    used, compact = np.unique(np.fromiter((g for w in number for g in gram_buckets(w)), np.int64), return_inverse=True)
-    sizes = [len(gram_buckets(w)) for w in number]
-    at = np.cumsum([0, *sizes])
-    word_grams = _mean_matrix([compact[at[i]:at[i + 1]].tolist() for i in range(len(sizes))])
+    word_rows, word_sizes, doc_rows = [], [], []
+    plain: set[str] = set()  # words without a telling n-gram: zero, but counted in the mean
+    for i in full:
+        row = []
+        for w in bags[i]:
+            if w not in number and w not in plain:
+                grams = gram_buckets(w)
+                mine = [int(compact[g]) for g in grams if keep[g]]
+                if mine:
+                    number[w] = len(number)
+                    word_rows.append(mine)
+                    word_sizes.append(len(grams))
+                else:
+                    plain.add(w)
+            if w in number:
+                row.append(number[w])
+        doc_rows.append(row)
+    at = np.array([k for k, r in enumerate(doc_rows) if r])  # the others are the bias alone
+    doc_words = _mean_matrix([doc_rows[k] for k in at], [len(bags[full[k]]) for k in at])
+    word_grams = _mean_matrix(word_rows, word_sizes)
     rng = np.random.default_rng(seed)
     grams = Adam(rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), RATE)
     head = Adam(rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), RATE)
     bias = Adam(np.zeros((1, 2), np.float32), RATE)
     weight = (0.5 / np.bincount(label, minlength=2)[label]).astype(np.float32)[:, None]
+    pooled = np.zeros((len(label), DIM), np.float32)
     for _ in range(epochs):
-        pooled = _times(doc_words, _times(word_grams, grams.value))
+        pooled[at] = _times(doc_words, _times(word_grams, grams.value))
         z = pooled @ head.value + bias.value
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(label)), label] -= 1
         p *= weight
-        back = _times_transposed(word_grams, _times_transposed(doc_words, p @ head.value.T, len(number)), len(used))
+        back = _times_transposed(word_grams, _times_transposed(doc_words, p[at] @ head.value.T, len(number)), len(used))
         head.move(pooled.T @ p + DECAY * head.value)
         bias.move(p.sum(0, keepdims=True))
         grams.move(back + DECAY * grams.value)
-    out = np.zeros(BUCKETS)
-    out[used] = grams.value.astype(np.float64) @ (head.value[:, 1] - head.value[:, 0])
+    out = np.zeros(BUCKETS, np.float32)
+    out[used] = grams.value @ (head.value[:, 1] - head.value[:, 0])
     return ToxicityModel(out, float(bias.value[0, 1] - bias.value[0, 0]))
 
 
@@ -137,7 +181,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row and its whole text.
 
     NULL and empty texts get the score of the bias alone. Only the text is scored;
-    repeated rows get equal scores. The model (1 MB) is broadcast.
+    repeated rows get equal scores. The model (4 MB) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_rows(docs, lambda: shared.value.scorer(), lambda i: remainder_of(i, FOLDS) == HELD_OUT_FOLD, THRESHOLD)
