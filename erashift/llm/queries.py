@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import session
-from erashift.llm import exact_dedup, line_dedup, mixing, quality, sharding, toxicity
+from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,20 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_decontamination", r"""
+with i as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from benchmark),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents),
+s as (select distinct item_id, array_to_string(w[p : p + 4], ' ') as shingle
+      from (select item_id, w, unnest(range(1, len(w) - 3)) as p from i)),
+n as (select item_id, count(*) as n_item from s group by item_id),
+t as (select distinct doc_id, array_to_string(w[p : p + 4], ' ') as shingle
+      from (select doc_id, w, unnest(range(1, len(w) - 3)) as p from d)),
+m as (select doc_id, item_id, count(*) as n_shared from t join s using (shingle) group by doc_id, item_id)
+select doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) as containment
+from m join n using (item_id) where n_shared * 100 >= n_item * 80
+""")
+def op3(spark, sf_dir):
+    found = decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.round("containment", 6))
