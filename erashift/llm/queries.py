@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import session
-from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, toxicity
+from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,18 @@ from m join n using (item_id) where n_shared * 100 >= n_item * 80
 def op3(spark, sf_dir):
     found = decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.round("containment", 6))
+
+
+@query("op1_near_dedup", f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {ASCII_LOWER}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p : p + 2], ' ') as shingle
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2),
+e as materialized (select a, b from b join n p on p.doc_id = a join n q on q.doc_id = b.b where 100 * shared >= 85 * (p.n + q.n - shared)),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id, d.doc_id = min(r.b) as kept
+from d left join n using (doc_id) join r on r.a = d.doc_id group by d.doc_id, n.n
+""")
+def op1(spark, sf_dir):
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), k=3, threshold_pct=85)
