@@ -99,6 +99,24 @@ def repeat_filter(docs: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
     bits = min(max_bits, max(1 << 16, 1 << (BITS_PER_LINE * lines - 1).bit_length()))
     builders = max(1, spark.sparkContext.defaultParallelism)  # one pair of filters per core, however many input splits
     pairs = docs.coalesce(builders).mapInArrow(_build(bits), "at long, once binary, again binary")
+    return _assembled(pairs, bits)
+
+
+def _add_all(bits: int):
+    def run(batches):
+        once = Bloom(bits)
+        for b in batches:
+            once.add(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        for at in range(0, bits // 8, _SLICE):
+            o = once.data[at:at + _SLICE]
+            if o.any():
+                packed = zlib.compress(o.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed]), pa.array([packed])], names=["at", "once", "again"])
+
+    return run
+
+
+def _assembled(pairs: DataFrame, bits: int) -> np.ndarray:
     merged = np.zeros(bits // 8, np.uint8)
     for row in pairs.groupBy("at").applyInPandas(_merge, "at long, again binary").toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["again"]), np.uint8)
@@ -106,6 +124,13 @@ def repeat_filter(docs: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
     return merged
 
 
+def merged_filter(hashes: DataFrame, n: int, max_bits: int) -> np.ndarray:
+    """The bits of one Bloom filter over a table of n hashes, at most max_bits / 8 bytes."""
+    bits = min(max_bits, max(1 << 16, 1 << (BITS_PER_LINE * max(1, n) - 1).bit_length()))
+    builders = max(1, hashes.sparkSession.sparkContext.defaultParallelism)
+    return _assembled(hashes.coalesce(builders).mapInArrow(_add_all(bits), "at long, once binary, again binary"), bits)
+
+
 def _suspects(filter_bits, fold: bool):
     """Suspected (key, doc), folded to (key, first doc, last doc) of a batch if asked for."""
     def run(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import session
-from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
+from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,34 @@ from d left join n using (doc_id) join r on r.a = d.doc_id group by d.doc_id, n.
 """)
 def op1(spark, sf_dir):
     return near_dedup.near_components(table(spark, sf_dir, "documents"), k=3, threshold_pct=85)
+
+
+@query("op2_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+h as (select doc_id, p, w[p] as word, case when p + 49 <= len(w) then md5(array_to_string(w[p : p + 49], ' ')) end as h from t),
+f as (select h, min(doc_id) as first from h where h is not null group by h),
+c as (select doc_id, p, word, max(case when first < doc_id then 1 else 0 end)
+             over (partition by doc_id order by p rows between 49 preceding and current row) as gone from h left join f using (h))
+select d.doc_id, count(c.p) as n_words, coalesce(sum(c.gone), 0)::bigint as n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' order by c.p) filter (c.gone = 0), '')) as kept_sha256
+from d left join c using (doc_id) group by d.doc_id
+""")
+def op2(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op8_suffix_dedup", r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+t as (select doc_id, x, unnest(range(0, length(x) // 2)) as p from d),
+h as (select doc_id, p, substr(x, 2 * p + 1, 2) as b, case when 2 * (p + 100) <= length(x) then md5(substr(x, 2 * p + 1, 200)) end as h from t),
+f as (select doc_id, p, b, h is not null and row_number() over (partition by h order by doc_id, p) > 1 as again from h),
+c as (select doc_id, p, b, max(case when again then 1 else 0 end)
+             over (partition by doc_id order by p rows between 99 preceding and current row) as gone from f),
+s as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by p), 0) = 0 as begins from c)
+select d.doc_id, count(s.p) as n_bytes, coalesce(sum(s.gone), 0)::bigint as n_removed, count(*) filter (s.begins) as n_spans,
+       sha256(unhex(coalesce(string_agg(s.b, '' order by s.p) filter (s.gone = 0), ''))) as kept_sha256
+from d left join s using (doc_id) group by d.doc_id
+""")
+def op8(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
