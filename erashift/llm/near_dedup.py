@@ -15,18 +15,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erashift.llm.common import ORPHAN, mix, stored, texts, window_hashes, word_hashes
+from erashift.llm.common import mix, stored, texts, window_hashes, word_hashes
 from erashift.llm.components import components
 
 ROWS_PER_BAND = 7
 MISS = 1e-6                 # chance that a pair just at the threshold shares no band
 BROADCAST_ROWS = 1_000_000  # of two or three numbers
+NAMELESS = 2**62            # keys from here on stand for rows without a doc_id
 _SETS = 500_000             # shingle hashes times minima worked on at once
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The doc_id; a row without one is known by its text and comes after all others."""
+    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    return F.coalesce(doc_id.cast("long"), nameless)
+
+
 def shape(threshold_pct: int) -> tuple[int, int]:
     """Bands and rows per band for the allowed miss rate."""
     per_band = (threshold_pct / 100) ** ROWS_PER_BAND
@@ -147,18 +154,9 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold_pct:
     return _beside(alike, sets, "set").mapInArrow(lambda it: _confirm(it, threshold_pct), "u long, v long")
 
 
-def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """Every row with doc_id, n_shingles, component_id, kept.
-
-    Rows are linked if their sets of k-word shingles have a Jaccard similarity of at
-    least threshold_pct; component_id is the smallest doc_id reachable. NULL, empty
-    and blank texts have no shingles and stay alone. Rows without a doc_id come after
-    all others; repeated rows share a component.
-    """
-    spark = docs.sparkSession
+def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
+    """(doc, n, component) for every row of (doc, text)."""
     bands, rows = shape(threshold_pct)
-    docs = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "text")
     signed = stored(docs.mapInArrow(_sign(k, bands, rows), _SIGNED), "signed")
     same = ["n", "set_a", "set_b"]
     classes = stored(signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "bands", "signature")).alias("c")).select(
@@ -209,13 +207,41 @@ def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col
     placed = classes.join(labels, F.col("node") == F.col("u"), "left").select(
         *[F.col(c).alias("_" + c) for c in same], label.alias("component"))
     found = signed.select("doc", *same).join(placed, [F.col(c) == F.col("_" + c) for c in same], "left")
-    component = F.coalesce("component", "doc")
-    return found.select(F.nullif("doc", F.lit(ORPHAN)).alias("doc_id"), F.col("n").alias("n_shingles"),
-                        F.nullif(component, F.lit(ORPHAN)).alias("component_id"), (component == F.col("doc")).alias("kept"))
+    return found.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
 
+def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """Every row with doc_id, n_shingles, component_id, kept.
 
-def drop_near_copies(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that are not kept, with all their columns; of repeated rows one stays."""
-    drop = stored(near_components(docs, k, threshold_pct, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("_drop")), "near-copies")
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(F.col("_drop")), "left_anti").dropDuplicates([id_col])
+    Rows are linked if their sets of k-word shingles have a Jaccard similarity of at
+    least threshold_pct; component_id is the smallest doc_id reachable. NULL, empty
+    and blank texts have no shingles and stay alone. Rows without a doc_id come after
+    all others and have a NULL component_id among themselves; repeated rows share a
+    component.
+    """
+    rows = texts(docs, id_col, text_col)
+    found = _keyed_components(rows.select(document_key(F.col("doc_id"), F.col("text")).alias("doc"), "text"), k, threshold_pct)
+
+    def name(key):
+        return F.when(F.col(key) < NAMELESS, F.col(key))
+
+    return found.select(name("doc").alias("doc_id"), F.col("n").alias("n_shingles"), name("component").alias("component_id"),
+                        (F.col("component") == F.col("doc")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """docs without the rows that are not kept, with all their columns; of rows equal in id and text one stays."""
+    key = document_key(docs[id_col], docs[text_col].cast("string"))
+    found = stored(_keyed_components(docs.select(key.alias("doc"), docs[text_col].cast("string").alias("text")), k, threshold_pct), "near-copies")
+    drop = found.where("component <> doc").select("doc").distinct()
+    again = found.where("component = doc").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
+    n_drop, n_again = drop.count(), again.count()
+    drop = F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop
+    kept = docs.join(drop, key == drop["doc"], "left_anti")
+    if not n_again:
+        return kept
+    again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
+    once = kept.join(again, key == again["doc"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, key == again["doc"], "left_anti").unionByName(once)
