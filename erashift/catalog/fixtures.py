@@ -24,12 +24,11 @@ select c_mktsegment as dataset, cast(c_custkey as varchar) as user_id, c_name as
   cast(case when c_custkey % 7 = 0 then null else floor(c_acctbal) end as double) as followers_count,
   cast(case when c_custkey % 5 = 0 then null else c_nationkey * 10 end as double) as friends_count,
   cast(c_custkey % 400 as double) as statuses_count, cast(c_nationkey as double) as listed_count,
-  f.first_order + interval '12' hour as created_at,
+  case when c_custkey % 9 = 4 then null else f.first_order + interval '12' hour end as created_at,
   case when c_custkey % 4 = 0 then '   ' when c_custkey % 4 = 1 then null else c_name end as description,
   case c_custkey % 3 when 0 then 'True' when 1 then '0' else '1.0' end as verified
 from customer left join (
-  select o_custkey, min(o_orderdate) as first_order from orders
-  where o_orderdate >= timestamp '1995-06-01 00:00:00' group by o_custkey
+  select o_custkey, min(o_orderdate) as first_order from orders group by o_custkey
 ) f on f.o_custkey = c_custkey
 """
 
@@ -59,7 +58,7 @@ where a.user_id <> b.user_id
 SQL_VIEWS["fx_edges_sparse"] = """
 select distinct l_linestatus as dataset, concat('c', cast(o_custkey as varchar)) as source_id,
   concat('s', cast(l_suppkey as varchar)) as target_id
-from lineitem join orders on o_orderkey = l_orderkey where l_quantity = 50 and l_discount = 0.1
+from lineitem join orders on o_orderkey = l_orderkey
 """
 
 SQL_VIEWS["fx_docs"] = """
@@ -97,10 +96,7 @@ class Tables:
     @cached_property
     def fx_users(self) -> DataFrame:
         key = F.col("c_custkey")
-        first = (
-            self.orders.filter("o_orderdate >= timestamp_ntz'1995-06-01 00:00:00'")
-            .groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
-        )
+        first = self.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
         return self.customer.join(first, F.col("o_custkey") == key, "left").select(
             F.col("c_mktsegment").alias("dataset"), text(key).alias("user_id"), F.col("c_name").alias("screen_name"),
             F.when(key % 11 != 0, F.when(F.col("c_nationkey") % 3 == 0, "Bot ").otherwise("human")).alias("label"),
@@ -108,7 +104,7 @@ class Tables:
             F.when(key % 5 != 0, F.col("c_nationkey") * 10).cast("double").alias("friends_count"),
             (key % 400).cast("double").alias("statuses_count"),
             F.col("c_nationkey").cast("double").alias("listed_count"),
-            (F.col("first_order") + F.expr("interval 12 hours")).alias("created_at"),
+            F.when(key % 9 != 4, F.col("first_order") + F.expr("interval 12 hours")).alias("created_at"),
             F.when(key % 4 == 0, "   ").when(key % 4 != 1, F.col("c_name")).alias("description"),
             F.when(key % 3 == 0, "True").when(key % 3 == 1, "0").otherwise("1.0").alias("verified"),
         )
@@ -147,8 +143,7 @@ class Tables:
 
     @cached_property
     def fx_edges_sparse(self) -> DataFrame:
-        items = self.lineitem.filter("l_quantity = 50 and l_discount = 0.1D").select(
-            "l_orderkey", "l_suppkey", "l_linestatus")
+        items = self.lineitem.select("l_orderkey", "l_suppkey", "l_linestatus")
         return items.join(self.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
             F.col("l_linestatus").alias("dataset"), F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("source_id"),
             F.concat(F.lit("s"), text(F.col("l_suppkey"))).alias("target_id"),

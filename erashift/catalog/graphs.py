@@ -64,6 +64,18 @@ select dataset, node as user_id, count(distinct seen) as graph_component_size fr
 """
 
 
+def least_label_sql(edges: str, rounds: int) -> str:
+    """Unrolled rounds of taking the smallest label around; the graph's diameter must not exceed them."""
+    parts = [f"und as materialized (select dataset, source_id as a, target_id as b from {edges} union select dataset, target_id, source_id from {edges})",
+             "l0 as materialized (select distinct dataset, a, a as label from und)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""l{k} as materialized (
+  select l.dataset, l.a, least(l.label, min(n.label)) as label from l{k - 1} l join und u on u.dataset = l.dataset and u.a = l.a
+  join l{k - 1} n on n.dataset = l.dataset and n.a = u.b group by l.dataset, l.a, l.label)""")
+    return (f"with {', '.join(parts)}\nselect dataset, a as user_id, count(*) over (partition by dataset, label) as graph_component_size "
+            f"from l{rounds}")
+
+
 def pagerank_sql(edges: str, rounds: int) -> str:
     """Unrolled power iteration; per era the first round with a change below N * 1e-6."""
     damping, tolerance = fv.PAGERANK_DAMPING, fv.PAGERANK_TOLERANCE
@@ -134,13 +146,13 @@ def graph_ego_density(t):
     return rounded(graph.graph_ego_density(t.fx_edges))
 
 
-@query("graph_components", components_sql("fx_edges_sparse"))
+@query("graph_components", least_label_sql("fx_edges_sparse", 12))
 def graph_components(t):
     return graph_iterative.graph_components(t.fx_edges_sparse)
 
 
 @query("graph_pagerank", f"""
-select dataset, user_id, round(graph_pagerank, 9) as graph_pagerank, graph_pagerank_sampled from ({pagerank_sql('all_edges', 25)})
+select dataset, user_id, round(graph_pagerank, 9) as graph_pagerank, graph_pagerank_sampled from ({pagerank_sql('all_edges', 70)})
 """.replace("all_edges", "(select 'dense ' || dataset as dataset, source_id, target_id from fx_edges union all "
                          "select * from fx_edges_sparse)"))
 def graph_pagerank(t):
@@ -240,9 +252,9 @@ def walks_sql(edges: str, num_walks: int, seed: int) -> str:
             f"array_to_string(path, ' ') as path from w{_STEPS}")
 
 
-@query("random_walks", walks_sql("fx_edges", 2, fv.SEED))
+@query("random_walks", walks_sql("fx_edges", fv.WALKS_PER_NODE, fv.SEED))
 def random_walks(t):
-    walks = graph_iterative.random_walks(t.fx_edges, num_walks=2)
+    walks = graph_iterative.random_walks(t.fx_edges)
     return walks.withColumn("path", F.concat_ws(" ", "path"))
 
 
@@ -253,16 +265,15 @@ def node_embeddings(t):
 
 
 @query("embedding_merge", """
-select u.dataset, u.user_id, u.label, case when e.vec_id is null then 0.0::double else round(e.embedding[1]::double, 5) end as emb_first,
-  case when e.vec_id is null then 0.0::double else round(e.embedding[64]::double, 5) end as emb_last, 64 as emb_dim
+select u.dataset, u.user_id, u.label, case when e.vec_id is null then rtrim(repeat('0,', 64), ',') else
+  array_to_string(list_transform(e.embedding, lambda x: floor(x::double * 100000)::bigint), ',') end as emb
 from fx_users u left join embeddings e on cast(e.vec_id as varchar) = u.user_id
 """)
 def embedding_merge(t):
-    """Stored vectors joined by user id, each given twice to exercise de-duplication."""
+    """Stored vectors joined by user id, all dimensions; each given twice to exercise de-duplication."""
     eras = t.fx_users.select("dataset", "user_id")
     stored = t.embeddings.select(F.col("vec_id").cast("string").alias("user_id"), F.col("embedding").alias("emb"))
     keyed = eras.join(stored, "user_id")
     merged = embeddings.embedding_merge(t.fx_users.select("dataset", "user_id", "label"), keyed.unionByName(keyed))
-    return merged.select(
-        "dataset", "user_id", "label", F.round(F.col("emb")[0].cast("double"), 5).alias("emb_first"),
-        F.round(F.col("emb")[63].cast("double"), 5).alias("emb_last"), F.size("emb").alias("emb_dim"))
+    digits = F.transform("emb", lambda x: F.floor(x.cast("double") * 100000).cast("string"))
+    return merged.select("dataset", "user_id", "label", F.array_join(digits, ",").alias("emb"))

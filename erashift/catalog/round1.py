@@ -121,6 +121,30 @@ def availability_mask(t):
         "dataset", "user_id", "retweet_ratio", "reply_ratio", "tweet_active_days", "tweets_per_day"))
 
 
+@query("era_header_rules", """
+select dataset, user_id, count(*) as tweet_count_actual, round(avg(retweet), 6) as retweet_ratio, round(avg(reply), 6) as reply_ratio from (
+  select 'plain ' || dataset as dataset, user_id, case when starts_with(coalesce(text, ''), 'RT @') then 1 else 0 end as retweet,
+    cast(null as integer) as reply from fx_era_tweets
+  union all select 'replies ' || dataset, user_id, case when starts_with(coalesce(text, ''), 'RT @') then 1 else 0 end,
+    case when trim(in_reply_to_user_id) not in ('', '0', 'nan', 'None') then 1 else 0 end from fx_era_tweets
+  union all select 'flags ' || dataset, user_id, cast(tweet_id as bigint) % 2, case when cast(tweet_id as bigint) % 5 = 0 then 1 when cast(tweet_id as bigint) % 5 = 1 then 0 end
+    from fx_era_tweets) group by dataset, user_id
+""")
+def era_header_rules(t):
+    """One frame of three kinds of eras: without optional columns, with reply ids, with ready flags."""
+    base = t.fx_era_tweets.select("dataset", "user_id", "text", "in_reply_to_user_id", F.col("tweet_id").cast("bigint").alias("n"))
+
+    def named(kind):
+        return F.concat(F.lit(kind + " "), "dataset").alias("dataset")
+
+    plain = base.select(named("plain"), "user_id", "text")
+    replies = base.select(named("replies"), "user_id", "text", "in_reply_to_user_id")
+    flags = base.select(named("flags"), "user_id", "text", (F.col("n") % 2).cast("int").alias("is_retweet"),
+                        F.when(F.col("n") % 5 == 0, 1).when(F.col("n") % 5 == 1, 0).alias("is_reply"))
+    union = plain.unionByName(replies, allowMissingColumns=True).unionByName(flags, allowMissingColumns=True)
+    return rounded(accounts.tweet_user_aggregates(union).select("dataset", "user_id", "tweet_count_actual", "retweet_ratio", "reply_ratio"))
+
+
 @query("tweets_per_day", "select dataset, user_id, round(tweets_per_day, 6) as tweets_per_day from ox_round1")
 def tweets_per_day(t):
     return rounded(merged_of(t).select("dataset", "user_id", "tweets_per_day"))
@@ -165,11 +189,11 @@ def flag_rates(t):
     return profile.flag_rates(cleaning.normalise_tweets(t.fx_tweets.withColumnRenamed("tweet_id", "id"), t.fx_users))
 
 
-@query("tweet_sample", """
-select tweet_id, user_id, text from fx_tweets order by md5(concat('42|', tweet_id)), tweet_id limit 2500
+@query("tweet_sample", f"""
+select tweet_id, user_id, text from fx_tweets order by md5(concat('42|', tweet_id)), tweet_id limit {fv.TWEET_SAMPLE_SIZE}
 """)
 def tweet_sample(t):
-    return order_stats.hash_sample(t.fx_tweets.select("tweet_id", "user_id", "text"), 2500, ["tweet_id"])
+    return order_stats.hash_sample(t.fx_tweets.select("tweet_id", "user_id", "text"), fv.TWEET_SAMPLE_SIZE, ["tweet_id"])
 
 
 @query("preview_rows", """

@@ -79,26 +79,51 @@ def account_features(
     )
 
 
-def tweet_user_aggregates(tweets: DataFrame, strict_times: bool = True) -> DataFrame:
+def era_headers(tweets: DataFrame) -> dict[str, list[str]]:
+    """Which optional tweet columns each era of a frame has.
+
+    In a union of releases every era has every column, so an era counts as having
+    one if any of its rows has a value there. One pass over the optional columns,
+    one row per era.
+    """
+    optional = sorted({*fv.PROOF_COLUMN.values(), "is_retweet", "is_reply", "in_reply_to_user_id"} & set(tweets.columns))
+    if not optional:
+        return {r["dataset"]: [] for r in tweets.select("dataset").distinct().collect()}
+    seen = tweets.groupBy("dataset").agg(*[F.count(c).alias(c) for c in optional]).collect()
+    return {r["dataset"]: [c for c in optional if r[c]] for r in seen}
+
+
+def _per_era(rules: list[tuple[str, Column]], otherwise: Column, have: set[str], headers: dict[str, list[str]] | None) -> Column:
+    """For each era the first rule whose column it has."""
+    out = otherwise
+    for column, rule in reversed([r for r in rules if r[0] in have]):
+        if headers is None:
+            out = rule
+        else:
+            eras = sorted(e for e, columns in headers.items() if e is not None and column in columns)
+            out = F.when(F.col("dataset").isin(eras), rule).otherwise(out) if eras else out
+    return out
+
+
+def tweet_user_aggregates(
+    tweets: DataFrame, strict_times: bool = True, headers: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """One row per user (per era, if the frame has `dataset`) with tweet statistics.
 
-    Optional columns that the frame lacks give NULL, never zero. All
+    Optional columns that an era lacks give NULL, never zero. headers names the
+    columns of each era; a frame with `dataset` and without headers is asked for
+    them (era_headers), one without `dataset` is one era with its own columns. All
     aggregates combine map-side, so a user with very many tweets does not
     make a slow task. Rows without a user are left out.
     """
     have = set(tweets.columns)
     keys = [c for c in ("dataset", "user_id") if c in have]
     null_double = F.lit(None).cast("double")
-    if "is_retweet" in have:
-        retweet = F.col("is_retweet").cast("int")
-    else:
-        retweet = text.retweet_flag(F.col("text"))
-    if "is_reply" in have:
-        reply = F.col("is_reply").cast("int")
-    elif "in_reply_to_user_id" in have:
-        reply = text.reply_flag(F.col("in_reply_to_user_id"))
-    else:
-        reply = null_double
+    if headers is None and "dataset" in have and have & {"is_retweet", "is_reply", "in_reply_to_user_id"}:
+        headers = era_headers(tweets)
+    retweet = _per_era([("is_retweet", F.col("is_retweet").cast("int"))], text.retweet_flag(F.col("text")), have, headers)
+    reply = _per_era([("is_reply", F.col("is_reply").cast("int")),
+                      ("in_reply_to_user_id", text.reply_flag(F.col("in_reply_to_user_id")))], null_double, have, headers)
     if "created_at" in have:
         at = values.time_column(tweets, "created_at", strict_times)
     else:
@@ -145,12 +170,12 @@ def tweets_per_day() -> Column:
     return F.coalesce(n / F.col("tweet_active_days"), n / (F.coalesce(age, F.lit(0.0)) + 1))
 
 
-def unavailable_features(tweet_columns: list[str]) -> dict[str, list[str]]:
-    """feature -> eras that cannot support it, given the columns their tweets have."""
+def unavailable_features(headers: dict[str, list[str]]) -> dict[str, list[str]]:
+    """feature -> eras that cannot support it, given the columns the tweets of each era have."""
     out: dict[str, list[str]] = {}
     for era, features in fv.UNAVAILABLE.items():
         for feature in features:
-            if fv.PROOF_COLUMN[feature] not in tweet_columns:
+            if fv.PROOF_COLUMN[feature] not in headers.get(era, ()):
                 out.setdefault(feature, []).append(era)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
@@ -107,12 +107,17 @@ def edges_reply(tweets: DataFrame, dataset: str | None = None, dedupe: bool = Tr
 
 
 def edges_combine(
-    follow: DataFrame | None, reply: DataFrame | None, relations: list[str] | None = RELATIONS,
+    follow: DataFrame | None, reply: DataFrame | None, relations: list[str] | None = None,
 ) -> DataFrame:
-    """Both edge sets, one row per directed pair, follow before reply."""
+    """Both edge sets, one row per directed pair, follow before reply.
+
+    Any relation is taken; relations promises that no others occur, which makes the
+    grouping cheaper. Without either set the result is an empty table.
+    """
     frames = [f for f in (follow, reply) if f is not None]
     if not frames:
-        raise ValueError("no edges given")
+        schema = ", ".join(f"{c} string" for c in EDGE_COLS)
+        return SparkSession.getActiveSession().createDataFrame([], schema)
     out = frames[0].select(*EDGE_COLS)
     for f in frames[1:]:
         out = out.unionByName(f.select(*EDGE_COLS))

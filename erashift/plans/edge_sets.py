@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from erashift.operators.edges import edges_clean, edges_combine, edges_filtered_scan, edges_from_neighbors, edges_reply
+from erashift.operators.edges import RELATIONS, edges_clean, edges_combine, edges_filtered_scan, edges_from_neighbors, edges_reply
 from erashift.sources import readers
 
 
@@ -24,4 +24,5 @@ def edges_for_dataset(
     else:
         raise ValueError(f"unknown dataset name: {dataset}")
     reply = edges_reply(tweets, dataset, dedupe=False) if tweets is not None else None
-    return edges_combine(follow, reply)
+    listed = RELATIONS if dataset != "cresci_2015" else None  # there the folders name the relations
+    return edges_combine(follow, reply, listed)

@@ -22,19 +22,22 @@ _KEY = ["dataset", "user_id"]
 
 def round1_features(
     users: DataFrame, tweets: DataFrame, reference_date: str | dict[str, str], dataset: str | None = None,
-    unavailable: dict[str, list[str]] | None = None,
+    unavailable: dict[str, list[str]] | None = None, headers: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Account features, tweet aggregates, merge, mask and canonical columns.
 
     The mask comes last, so tweets_per_day keeps a rate computed from active
-    days that are then masked.
+    days that are then masked. headers names the tweet columns each era's release
+    has; without it they are read off the data (see accounts.era_headers).
     """
     if dataset is not None:
         tweets = tweets.withColumn("dataset", F.lit(dataset))
+    if headers is None:
+        headers = acc.era_headers(tweets) if "dataset" in tweets.columns else {}
     merged = acc.round1_merge(
-        acc.account_features(users, reference_date, dataset), acc.tweet_user_aggregates(tweets))
+        acc.account_features(users, reference_date, dataset), acc.tweet_user_aggregates(tweets, headers=headers or None))
     if unavailable is None:
-        unavailable = acc.unavailable_features(tweets.columns)
+        unavailable = acc.unavailable_features(headers)
     return acc.canonical_schema(acc.availability_mask(merged, unavailable))
 
 
@@ -69,10 +72,10 @@ def graph_features(
     ])
 
 
-def full_features(round1: DataFrame, edges: DataFrame, no_ego: tuple[str, ...] = ("twibot_2022",)) -> DataFrame:
+def full_features(round1: DataFrame, edges: DataFrame, no_ego: tuple[str, ...] = ()) -> DataFrame:
     """Round 1, graph columns and the `emb` array for all eras in one frame.
 
-    Ego columns are NULL for the eras in no_ego; pass () to have them all.
+    Ego columns are NULL for the eras in no_ego (none unless asked for).
     """
     graph = graph_features(edges)
     if no_ego:

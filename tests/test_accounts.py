@@ -76,7 +76,19 @@ def test_mask_follows_the_tweet_columns(spark):
     assert round1_features(users(spark), tweets, "2020-01-03", "twibot_2022").first()["retweet_ratio"] is None
     flagged = spark.createDataFrame([("1", "x", 1)], "user_id string, text string, is_retweet int")
     assert round1_features(users(spark), flagged, "2020-01-03", "twibot_2022").first()["retweet_ratio"] == 1.0
-    assert acc.unavailable_features(["created_at"]) == {"reply_ratio": ["twibot_2020"], "retweet_ratio": ["twibot_2022"]}
+    assert acc.unavailable_features({"twibot_2020": ["is_retweet"], "twibot_2022": ["created_at", "is_reply"]})["retweet_ratio"] == ["twibot_2022"]
+
+
+def test_each_era_follows_its_own_header(spark):
+    old = spark.createDataFrame([("old", "1", "RT @x")], "dataset string, user_id string, text string")
+    new = spark.createDataFrame([("new", "1", "RT @x", 0, 1), ("new", "1", "y", None, 0)],
+                                "dataset string, user_id string, text string, is_retweet int, is_reply int")
+    both = old.unionByName(new, allowMissingColumns=True)
+    got = {r["dataset"]: (r["retweet_ratio"], r["reply_ratio"]) for r in acc.tweet_user_aggregates(both).collect()}
+    assert got == {"old": (1.0, None), "new": (0.0, 0.5)}
+    empty_header = {"old": ["text"], "new": ["text"]}
+    got = {r["dataset"]: r["retweet_ratio"] for r in acc.tweet_user_aggregates(both, headers=empty_header).collect()}
+    assert got == {"old": 1.0, "new": 0.5}
 
 
 def test_canonical_columns_come_first(spark):

@@ -39,10 +39,14 @@ def test_large_lookup_is_not_broadcast(spark, hot_table, rows):
     assert rows(joined) == rows(hot_table.join(lookup, "k", "left"))
 
 
-def test_era_limit(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_ERAS", 3)
-    with pytest.raises(ValueError):
-        skew.eras_of(spark.range(10).select(F.col("id").cast("string").alias("dataset")))
+def test_many_eras(spark):
+    eras = spark.range(1500).select(F.format_string("%05d", "id").alias("dataset"))
+    assert skew.eras_of(eras) == [f"{i:05d}" for i in range(1500)]
+
+
+def test_summary_beyond_the_broadcast_bound(spark, hot_table, rows):
+    summary = skew.stored_small(hot_table.groupBy("k").count(), max_rows=1)
+    assert rows(hot_table.join(summary, "k")) == rows(hot_table.join(hot_table.groupBy("k").count(), "k"))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 501])
