@@ -142,6 +142,20 @@ def feature_importance(t):
     return models.collect_importances(t.spark, [bundle])
 
 
+@query("pairwise_experiment_sizes", """
+select a.train, b.test, case when a.train = b.test then 'within-dataset' else 'cross-era' end as scope,
+  cast(sum(case when s.dataset = a.train and (a.train <> b.test or s.is_test = 0) then 1 else 0 end) as bigint) as n_train,
+  cast(sum(case when s.dataset = b.test and (a.train <> b.test or s.is_test = 1) then 1 else 0 end) as bigint) as n_test
+from ox_split s cross join (select distinct dataset as train from ox_split) a cross join (select distinct dataset as test from ox_split) b
+group by a.train, b.test
+""")
+def pairwise_experiment_sizes(t):
+    """The part of the experiment's result table that does not depend on a fit."""
+    frame = frame_of(t)
+    run = experiment.run_pairwise_experiment(frame, contract_of(frame), eras_of(frame), "ridge", maxIter=5)
+    return run.results.select("train", "test", "scope", "n_train", "n_test")
+
+
 @query("pairwise_experiment")
 def pairwise_experiment(t):
     frame = frame_of(t)

@@ -207,4 +207,4 @@ WALK_MIN_COUNT = 1
 SCORE_EPSILON = 1e-8
 DECISION_THRESHOLD = 0.5
 LINEAR_MODELS = ["logreg", "ridge", "lasso", "svm"]
-TREE_MODELS = ["rf", "xgb"]
+MODEL_FAMILIES = [*LINEAR_MODELS, "rf", "xgb"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
-from erashift.operators.evaluation import PAIR, accuracy, auc_exact
+from erashift.operators.evaluation import PAIR, accuracy, auc_exact, confusion_matrix, roc_curve
 from erashift.operators.models import Bundle, fit_model, labelled, score, stratified_split
 from erashift.session import cut
 
@@ -128,10 +128,42 @@ def run_pairwise_experiment(
             auc_exact(scored, PAIR).select(*PAIR, "auc"), PAIR, "left")
     else:
         results = results.withColumns({m: F.lit(None).cast("double") for m in ("accuracy", "auc")})
-    results = results.withColumns({"model": F.lit(model_type), "scope": scope}).select(*RESULT_COLS)
+    results = cut(results.withColumns({"model": F.lit(model_type), "scope": scope}).select(*RESULT_COLS))
+    _note_metrics(bundles, results)
     return Experiment(bundles, scored, results)
 
 
+_METRICS = ["accuracy", "auc", "n_features", "n_train", "n_test"]
+
+
+def _note_metrics(bundles: list[Bundle], results: DataFrame) -> None:
+    """Give each bundle its pair's row of metrics: one row per pair, cross_era 1 for two eras."""
+    by_pair = {(r["train"], r["test"]): r for r in results.collect()}
+    for b in bundles:
+        row = by_pair[b.train, b.test]
+        b.metrics = {m: float(row[m]) for m in _METRICS if row[m] is not None}
+        b.metrics["cross_era"] = float(b.train != b.test)
+
+
+def run_all_families(
+    df: DataFrame, contract: DataFrame, eras: list[str], families: list[str] | None = None, **how,
+) -> Experiment:
+    """run_pairwise_experiment for several families (all by default), their rows in one table."""
+    runs = [run_pairwise_experiment(df, contract, eras, m, **how) for m in families or fv.MODEL_FAMILIES]
+    results = runs[0].results
+    for r in runs[1:]:
+        results = results.unionByName(r.results)
+    return Experiment([b for r in runs for b in r.bundles], None, results)
+
+
+def evaluate_bundle(bundle: Bundle, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ROC points and confusion counts of a bundle on any labelled frame, under its own pair."""
+    rows = labelled(df)
+    scored = cut(score(bundle.model, rows, ["user_id", "y"]).withColumns(
+        {"train": F.lit(bundle.train), "test": F.lit(bundle.test)}))
+    return roc_curve(scored), confusion_matrix(scored, threshold=None)
+
+
 def train_and_evaluate_pair(
     df: DataFrame, contract: DataFrame, train: str, test: str, model_type: str = "logreg", **overrides,
 ) -> tuple[Bundle | None, DataFrame]:
@@ -152,6 +184,7 @@ def train_and_evaluate_pair(
         return None, meta.withColumns({"accuracy": nothing, "auc": nothing}).select(*RESULT_COLS)
     bundle = Bundle(model_type, train, test, d.cols, model)
     scored = cut(score(model, d.test_rows, ["y"]).withColumns({"train": F.lit(train), "test": F.lit(test)}))
-    metrics = meta.join(accuracy(scored, PAIR, None), PAIR, "left").join(
-        auc_exact(scored).select(*PAIR, "auc"), PAIR, "left").select(*RESULT_COLS)
+    metrics = cut(meta.join(accuracy(scored, PAIR, None), PAIR, "left").join(
+        auc_exact(scored).select(*PAIR, "auc"), PAIR, "left").select(*RESULT_COLS))
+    _note_metrics([bundle], metrics)
     return bundle, metrics

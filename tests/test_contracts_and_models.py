@@ -109,6 +109,10 @@ def test_experiment_and_bundles(spark, frame, contract, tmp_path):
     assert {(b.train, b.test) for b in again} == {(b.train, b.test) for b in run.bundles}
     b = next(b for b in again if (b.train, b.test) == ("a", "b"))
     old = next(o for o in run.bundles if (o.train, o.test) == ("a", "b"))
+    assert b.metrics == old.metrics and set(b.metrics) == {"accuracy", "auc", "n_features", "n_train", "n_test", "cross_era"}
+    assert b.metrics["auc"] == results["a", "b"]["auc"] and b.metrics["cross_era"] == 1.0
+    roc, confusion = experiment.evaluate_bundle(b, frame.filter("dataset = 'b'"))
+    assert confusion.agg(F.sum("n")).first()[0] == 120 and roc.agg(F.max("tpr")).first()[0] == 1.0
     same = frame.filter("dataset = 'b'")
     assert models.predict_with_bundle(b, same, ["user_id"]).orderBy("user_id").collect() == \
         models.predict_with_bundle(old, same, ["user_id"]).orderBy("user_id").collect()
@@ -120,6 +124,13 @@ def test_experiment_and_bundles(spark, frame, contract, tmp_path):
     assert writers.load_contract(spark, str(tmp_path / "contract")).count() == contract.count()
 
 
+def test_all_families_in_one_table(frame, contract):
+    run = experiment.run_all_families(frame, contract, ["a", "b"], ["logreg", "ridge"])
+    assert run.results.groupBy("model").count().collect() and run.results.count() == 8 and len(run.bundles) == 8
+    by = {(r["model"], r["train"], r["test"]): r["auc"] for r in run.results.collect()}
+    assert all(by["logreg", a, b] == by["ridge", a, b] for a in "ab" for b in "ab")
+
+
 def test_single_pair(frame, contract):
     bundle, metrics = experiment.train_and_evaluate_pair(frame, contract, "a", "b", "logreg")
     assert metrics.first()["auc"] > 0.9 and bundle.feature_cols == ["x", "z"]
