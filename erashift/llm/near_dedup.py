@@ -5,8 +5,10 @@ that share a band of minima are candidates. They are not paired all with all: fi
 every class is compared with the most central class of each of its buckets (linear in
 the bucket), and components are formed. Only classes of different components that
 still share a bucket are paired, and of these only pairs that can reach the threshold
-when the shingles that no other such class has are set aside. A pair must agree in its
-signature, within five standard errors, and is then confirmed on the full sets.
+when the shingles that no other such class has are set aside, and whose parity sketches
+do not already differ in more bits than their sets may differ in shingles. A pair must
+agree in its signature, within five standard errors, and is then confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ ROWS_PER_BAND = 7
 MISS = 1e-6                 # chance that a pair just at the threshold shares no band
 BROADCAST_ROWS = 1_000_000  # of two or three numbers
 NAMELESS = 2**62            # keys from here on stand for rows without a doc_id
+_SKETCH_BITS = 4096
 _SETS = 500_000             # shingle hashes times minima worked on at once
 
 
@@ -97,17 +100,32 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """4096 bits, each the parity of the elements that hash to it.
+
+    Sketches of two sets differ in at most as many bits as the sets in elements.
+    """
+    bits = np.bincount((s >> np.uint64(52)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _sketch_distance(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _full_sets(k: int):
-    """Of the rows given with their class's set hash: the set itself."""
+    """Of the rows given with their class's set hash: the set itself and its sketch."""
     def run(batches):
         for b in batches:
-            node, data = [], []
+            node, data, sketch = [], [], []
             for doc, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
                 s = shingle_set(text, k)
                 if _set_hash(s) == (one, two):
                     node.append(doc)
                     data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "set"])
+                    sketch.append(parity_sketch(s).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
+                                             names=["node", "set", "sketch"])
 
     return run
 
@@ -174,7 +192,7 @@ def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
     wanted = classes.select(F.col("node"), "set_a", "set_b").join(sized(members, n_members), F.col("node") == F.col("_node"), "left_semi")
     wanted = sized(wanted, n_members)
     sets = stored(docs.join(wanted, F.col("doc") == F.col("node")).select("doc", "text", "set_a", "set_b").mapInArrow(
-        _full_sets(k), "node long, set binary").dropDuplicates(["node"]), "sets")
+        _full_sets(k), "node long, set binary, sketch array<long>").dropDuplicates(["node"]), "sets")
     fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * threshold_pct
 
     ranked = buckets.join(sized(members, n_members), F.col("node") == F.col("_node")).select("key", "node", "n", "central")
@@ -189,16 +207,19 @@ def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
     placed = stored(buckets.join(labels, F.col("node") == F.col("u"), "left").select("key", "node", "n", label.alias("label")), "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
     open_ = stored(placed.join(mixed, F.col("key") == F.col("_key"), "left_semi"), "open")
-    open_sets = sets.join(open_.select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_semi")
+    open_sets = sets.select("node", "set").join(open_.select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_semi")
     own = (open_sets.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle")
            .agg(F.count("*").alias("c"), F.min("node").alias("_own")).where("c = 1").groupBy("_own").agg(F.count("*").alias("own")))
     left = open_.join(own, F.col("node") == F.col("_own"), "left").select(
         "key", "node", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-    left = stored(left.where(F.col("common") * 100 >= F.col("n") * threshold_pct), "left")
+    left = left.where(F.col("common") * 100 >= F.col("n") * threshold_pct)
+    sketches = sets.select(F.col("node").alias("_node"), "sketch")
+    left = stored(left.join(sketches, F.col("node") == F.col("_node")).drop("_node"), "left")
     other = left.select(*[F.col(c).alias(c + "2") for c in left.columns])
     reach = F.least("common", "common2")  # of the intersection
     rest = left.join(other, (F.col("key") == F.col("key2")) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits
-                     & (reach * (100 + threshold_pct) >= (F.col("n") + F.col("n2")) * threshold_pct)).select(
+                     & (reach * (100 + threshold_pct) >= (F.col("n") + F.col("n2")) * threshold_pct)
+                     & (_sketch_distance("sketch", "sketch2") * (100 + threshold_pct) <= (F.col("n") + F.col("n2")) * (100 - threshold_pct))).select(
         F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
     more = stored(_links(rest, classes, sets, threshold_pct, bands * rows), "more-links")
     if not more.isEmpty():
