@@ -7,6 +7,7 @@ from erashift.catalog.fixtures import Tables, text
 from erashift.catalog.registry import query
 from erashift.functions import ids, text as tx, values
 from erashift.operators import cleaning, edges, profile
+from erashift.plans import releases
 
 
 # --- nested release ---------------------------------------------------------
@@ -197,6 +198,48 @@ def float_ids_to_string(t):
         F.when(key % 4 != 0, F.col("o_orderkey").cast("double")).alias("in_reply_to_user_id")))
 
 
+# --- CSV releases -------------------------------------------------------------
+
+_SUBSETS = [*fv.SUBSET_LABELS["cresci_2017"], "unlisted.csv"]
+_SUBSET_SQL = f"([{', '.join(repr(s) for s in _SUBSETS)}])[1 + c_nationkey % {len(_SUBSETS)}]"
+
+
+def _release_users(t: Tables):
+    key = F.col("c_custkey")
+    day = F.concat(text(key * 86_400_000), F.lit("L"))
+    return releases.release_users(t.customer.select(
+        key.cast("double").alias("id"), F.col("c_name").alias("screen_name"), F.col("c_acctbal").alias("unused"),
+        F.when(key % 2 == 0, day).when(key % 3 == 0, "2009-05-01 00:00:00+00:00").alias("created_at"),
+        F.get(F.array(*[F.lit(s) for s in _SUBSETS]), F.col("c_nationkey") % len(_SUBSETS)).alias("subset")), "cresci_2017")
+
+
+@query("release_users", f"""
+select cast(c_custkey as varchar) as user_id, c_name as screen_name,
+  case {_SUBSET_SQL} when 'genuine_accounts.csv' then 'human' when 'unlisted.csv' then null else 'bot' end as label, {_SUBSET_SQL} as subset,
+  case when c_custkey % 2 = 0 then concat(strftime(make_timestamp(c_custkey * 86400000000), '%Y-%m-%d %H:%M:%S'), '+00:00')
+       when c_custkey % 3 = 0 then '2009-05-01 00:00:00+00:00' end as created_at, 'cresci_2017' as source
+from customer
+""")
+def release_users(t):
+    """Customers as the accounts of a CSV release with one subset that has no label."""
+    return _release_users(t)
+
+
+@query("release_tweets", """
+select tweet_id, user_id, text, created_at, case when in_reply_to_user_id <> '' then in_reply_to_user_id end as in_reply_to_user_id,
+  case when starts_with(coalesce(text, ''), 'RT @') then 1 else 0 end as is_retweet,
+  case when trim(in_reply_to_user_id) not in ('', '0', 'nan', 'None') then 1 else 0 end as is_reply
+from (select * replace (cast(created_at as varchar) as created_at) from fx_tweets) where user_id in (select cast(c_custkey as varchar) from customer)
+  and cast(user_id as bigint) % 9 <> 0
+""")
+def release_tweets(t):
+    """Tweets whose ids went through float columns; every ninth account's are lost."""
+    raw = t.fx_tweets.select(
+        F.col("tweet_id").alias("id"), F.when(F.col("user_id").cast("bigint") % 9 != 0, F.col("user_id").cast("double")).alias("user_id"),
+        "text", text(F.col("created_at")).alias("created_at"), F.col("in_reply_to_user_id").cast("double").alias("in_reply_to_user_id"))
+    return releases.release_tweets(raw, _release_users(t))
+
+
 @query("long_suffix_timestamps", """
 select event_id, case when event_id % 2 = 0
   then concat(strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S'),

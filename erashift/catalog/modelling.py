@@ -6,7 +6,6 @@ simple text measures.
 
 from pyspark.sql import functions as F
 
-from erashift import fixed_values as fv
 from erashift.catalog.fixtures import SQL_VIEWS
 from erashift.catalog.registry import query, rounded
 from erashift.operators import contracts, models
