@@ -69,6 +69,17 @@ def test_bands_keep_the_promised_miss_rate():
         assert (1 - (pct / 100) ** rows) ** bands <= near_dedup.MISS
 
 
+def test_sketches_never_overstate_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size in (3, 300, 20_000):
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 5:], rng.integers(0, 2**64, size // 6, dtype=np.uint64)])
+        x, y = near_dedup.parity_sketch(a).view(np.uint64), near_dedup.parity_sketch(b).view(np.uint64)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def substring_brute(pairs):
     first, out = {}, []
     for i, t in pairs:
@@ -83,7 +94,7 @@ def substring_brute(pairs):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_variants": 1, "shard_units": 200}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_units": 200}, {"max_variants": 1, "shard_units": 200}])
 def test_substring_against_brute_force(docs, pairs, rows, sizes):
     got = rows(substring_dedup.substring_dedup(docs, **sizes), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(got) == substring_brute(pairs)
@@ -103,7 +114,7 @@ def suffix_brute(pairs):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_variants": 1, "shard_units": 500}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_units": 500}, {"max_variants": 1, "shard_units": 500}])
 def test_suffix_against_brute_force(docs, pairs, rows, sizes):
     got = rows(suffix_dedup.suffix_dedup(docs, **sizes), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert sorted(got) == suffix_brute(pairs)

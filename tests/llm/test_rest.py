@@ -4,7 +4,6 @@ import math
 import re
 import zlib
 
-import duckdb
 import pytest
 from brute import crc, words
 
