@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from erashift.llm.common import mix, powers, stored
@@ -100,7 +100,7 @@ def _folded(units, window, gram):
     def run(batches):
         for b in batches:
             for anchor, seg, n, doc, start in _found(b, units, window, gram):
-                order = np.lexsort((start, doc, seg, anchor))
+                order = np.argsort(anchor * _BASE + seg, kind="stable")  # rows are in (doc, start) order
                 anchor, seg, n, doc, start = (x[order] for x in (anchor, seg, n, doc, start))
                 head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])])) if len(n) else np.empty(0, np.int64)
                 copies = np.diff(head, append=len(n))
@@ -189,8 +189,8 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     first = F.min(F.struct("doc", "start")).alias("first")
     folded = docs.mapInArrow(_folded(units, window, gram), _SEGMENT).repartition("anchor").groupBy("anchor", "seg", "n").agg(
         first, F.sum("copies").alias("copies"))
-    per_anchor = folded.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("variants")).where("all > 1").withColumnRenamed("anchor", "_a")
-    repeated = folded.join(per_anchor, F.col("anchor") == F.col("_a")).select(
+    own = Window.partitionBy("anchor")  # the layout is there already, and copies are folded
+    repeated = folded.withColumn("all", F.sum("copies").over(own)).withColumn("variants", F.count("*").over(own)).where("all > 1").select(
         "anchor", "seg", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "variants")
     repeated = stored(repeated, "repeated-segments")
 
@@ -226,12 +226,22 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
                            (F.col("start") + F.col("off") + F.col("len") + F.lit(window - 1)).alias("to"))
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Overlapping or touching spans joined, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def spans_by_doc(spans: DataFrame) -> DataFrame:
+    """(_doc, spans): each document's spans, packed into one number each (a text has fewer than 2^31 units)."""
+    packed = F.shiftleft(F.col("from").cast("long"), 31) + F.col("to")
+    return spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(packed).alias("spans"))
+
+
+def merged_spans(column: pa.ListArray):
+    """For each row of packed spans the overlapping or touching ones joined, in order: (starts, ends)."""
+    flat, none = column.flatten().to_numpy(zero_copy_only=False), np.empty(0, np.int64)
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        if not n:
+            yield none, none
+            continue
+        packed = np.sort(flat[at:at + n])
+        at += n
+        start, end = packed >> 31, np.maximum.accumulate(packed & (2**31 - 1))
+        head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+        yield start[head], np.append(end[head[1:] - 1], end[-1])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erashift.llm.anchors import merged, repeated_spans
+from erashift.llm.anchors import merged_spans, repeated_spans, spans_by_doc
 from erashift.llm.common import ORPHAN, texts, word_hashes
 
 WINDOW_WORDS, GRAM_WORDS = 50, 8
@@ -99,10 +99,10 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 def _remove(batches):
     for b in batches:
         out = []
-        for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for text, (starts, ends) in zip(b.column(2).to_pylist(), merged_spans(b.column(3))):
             words = (text or "").encode().split()
             kept, at = [], 0
-            for x, y in merged((s["from"], s["to"]) for s in spans or ()):
+            for x, y in zip(starts.tolist(), ends.tolist()):
                 kept.extend(words[at:x])
                 at = y
             kept.extend(words[at:])
@@ -124,6 +124,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "doc_id", "text")
     spans = repeated_spans(rows.select("doc", "text"), word_hashes, cut_words, word_hashes, automaton_index, WINDOW_WORDS, GRAM_WORDS, **sizes)
-    gone = spans.where("fdoc < doc").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    gone = spans_by_doc(spans.where("fdoc < doc"))
     return rows.join(gone, F.col("doc") == F.col("_doc"), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erashift.llm.anchors import merged, repeated_spans
+from erashift.llm.anchors import merged_spans, repeated_spans, spans_by_doc
 from erashift.llm.common import ORPHAN, mix, texts
 
 WINDOW_BYTES, GRAM_BYTES = 100, 20
@@ -62,9 +62,12 @@ def suffix_index(contents: list[bytes], n: np.ndarray, doc: np.ndarray, start: n
     number[at] = np.arange(len(at))
     order = suffix_array(t.astype(np.int64) + 1)
     order = order[number[order] >= 0]  # only suffixes that begin a window inside its segment
+    eight = np.zeros(max(0, len(t) - 7), np.uint64)  # the eight bytes from each position on
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | t[k:k + len(eight)]
     equal = np.ones(len(order) - 1, bool)
-    for k in range(WINDOW_BYTES):
-        equal &= t[order[1:] + k] == t[order[:-1] + k]
+    for k in [*range(0, WINDOW_BYTES - 8, 8), WINDOW_BYTES - 8]:
+        equal &= eight[order[1:] + k] == eight[order[:-1] + k]
     group = np.concatenate([[0], np.cumsum(~equal)])
     windows = number[order]
     age = np.empty(len(at), np.int64)
@@ -87,15 +90,14 @@ def cut_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 def _remove(batches):
     for b in batches:
         out = []
-        for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for text, (starts, ends) in zip(b.column(2).to_pylist(), merged_spans(b.column(3))):
             raw = (text or "").encode()
-            runs = merged((s["from"], s["to"]) for s in spans or ())
             kept, at = [], 0
-            for x, y in runs:
+            for x, y in zip(starts.tolist(), ends.tolist()):
                 kept.append(raw[at:x])
                 at = y
             body = b"".join([*kept, raw[at:]])
-            out.append((len(raw), len(raw) - len(body), len(runs), hashlib.sha256(body).hexdigest(), body))
+            out.append((len(raw), len(raw) - len(body), len(starts), hashlib.sha256(body).hexdigest(), body))
         cols = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
             [b.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
@@ -113,6 +115,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "doc_id", "text")
     spans = repeated_spans(rows.select("doc", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES, **sizes)
-    gone = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    gone = spans_by_doc(spans)
     return rows.join(gone, F.col("doc") == F.col("_doc"), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
