@@ -206,8 +206,10 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     sizes = several.agg(F.sum("len").alias("units")).collect()[0]["units"] or 0
     crowded = several.where(F.col("variants") > max_variants).select(F.col("anchor").alias("_a")).distinct()
     usual = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_anti")
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, sizes // shard_units)))
-    resolved = usual.withColumn("shard", shard).groupBy("shard").applyInPandas(_resolver(index, window), _FIRST)
+    large = several.where(F.col("variants") * window > shard_units // 4).select(F.col("anchor").alias("_l")).distinct()
+    dealt = F.concat(F.lit("s"), F.pmod(F.xxhash64("anchor"), F.lit(max(1, sizes // shard_units))))
+    shard = F.when(F.col("_l").isNull(), dealt).otherwise(F.concat(F.lit("a"), "anchor"))  # large anchors have their own
+    resolved = usual.join(large, F.col("anchor") == F.col("_l"), "left").withColumn("shard", shard).groupBy("shard").applyInPandas(_resolver(index, window), _FIRST)
     split = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_semi").mapInArrow(
         _windows(hashed, window), "anchor long, seg long, off int, w1 long, w2 long, doc long, start long")
     split = stored(split, "crowded-windows")

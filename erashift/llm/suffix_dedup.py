@@ -19,6 +19,7 @@ from erashift.llm.anchors import merged_spans, repeated_spans, spans_by_doc
 from erashift.llm.common import ORPHAN, mix, texts
 
 WINDOW_BYTES, GRAM_BYTES = 100, 20
+MAX_VARIANTS = 8_000  # of at most 180 bytes each: 1.4 million units
 _UNIT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _NAME_BITS, _RANK_BITS = 21, 22
 
@@ -104,7 +105,8 @@ def _remove(batches):
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_variants: int = MAX_VARIANTS,
+                 **sizes) -> DataFrame:
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes.
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a smaller
@@ -114,7 +116,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one are judged as copies of one document, none earlier than another.
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "doc_id", "text")
-    spans = repeated_spans(rows.select("doc", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES, **sizes)
+    spans = repeated_spans(rows.select("doc", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES,
+                           max_variants=max_variants, **sizes)
     gone = spans_by_doc(spans)
     return rows.join(gone, F.col("doc") == F.col("_doc"), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
