@@ -33,8 +33,8 @@ def words_of(text: str) -> list[str]:
 
 def gram_buckets(word: str) -> list[int]:
     marked = f"<{word}>"
-    grams = {marked} | {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+    grams = dict.fromkeys([marked, *(marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1))])
+    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
 def _mean_matrix(rows: list[list[int]], sizes: list[int]):
@@ -69,13 +69,14 @@ class Adam:
 
 @dataclass
 class ToxicityModel:
-    """Per n-gram bucket what it adds to the log odds of label 1, and the bias."""
+    """What each telling n-gram bucket adds to the log odds of label 1, and the bias."""
 
-    weight: np.ndarray
+    weight: dict[int, float]
     bias: float
 
     def scorer(self):
         cache: dict[str, float] = {}
+        weight = self.weight
 
         def score(text: str) -> float:
             words = words_of(text)
@@ -85,7 +86,8 @@ class ToxicityModel:
                 if v is None:
                     if len(cache) >= _CACHED_WORDS:
                         cache.clear()
-                    v = cache[w] = float(self.weight[gram_buckets(w)].mean())
+                    grams = gram_buckets(w)
+                    v = cache[w] = sum(weight[g] for g in grams if g in weight) / len(grams)
                 total += v
             z = self.bias + (total / len(words) if words else 0.0)
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
@@ -118,7 +120,7 @@ def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) ->
     of label 1 (0 if there is no label).
     """
     share = min(max(float(np.mean(y)) if y else 0.0, 1e-9), 1 - 1e-9)
-    constant = ToxicityModel(np.zeros(BUCKETS, np.float32), math.log(share / (1 - share)))
+    constant = ToxicityModel({}, math.log(share / (1 - share)))
     bags = [words_of(t) for t in texts]
     full = [i for i, b in enumerate(bags) if b]
     label = np.array(y, np.int64)[full] if full else np.empty(0, np.int64)
@@ -167,9 +169,8 @@ def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) ->
         head.move(pooled.T @ p + DECAY * head.value)
         bias.move(p.sum(0, keepdims=True))
         grams.move(back + DECAY * grams.value)
-    out = np.zeros(BUCKETS, np.float32)
-    out[used] = grams.value @ (head.value[:, 1] - head.value[:, 0])
-    return ToxicityModel(out, float(bias.value[0, 1] - bias.value[0, 0]))
+    adds = grams.value @ (head.value[:, 1] - head.value[:, 0])
+    return ToxicityModel(dict(zip(used.tolist(), adds.tolist())), float(bias.value[0, 1] - bias.value[0, 0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
@@ -181,7 +182,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row and its whole text.
 
     NULL and empty texts get the score of the bias alone. Only the text is scored;
-    repeated rows get equal scores. The model (4 MB) is broadcast.
+    repeated rows get equal scores. The model is broadcast: one number per telling n-gram.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_rows(docs, lambda: shared.value.scorer(), lambda i: remainder_of(i, FOLDS) == HELD_OUT_FOLD, THRESHOLD)
