@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from erashift.llm.common import mix, powers, stored
+from erashift.llm.common import ORPHAN, mix, powers, stored
 from erashift.llm.line_dedup import Bloom, merged_filter
 
 SHARD_UNITS = 400_000       # units one index is built over, about
@@ -71,22 +71,22 @@ def segments(h: np.ndarray, window: int, gram: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_SEGMENT = "anchor long, seg long, n int, doc long, start long, copies long"
+_SEGMENT = "anchor long, seg long, n int, doc long, row long, start long, copies long"
 
 
-def _batch(anchor, seg, n, doc, start, copies) -> pa.RecordBatch:
+def _batch(anchor, seg, n, doc, row, start, copies) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(start), pa.array(copies)],
-        names=["anchor", "seg", "n", "doc", "start", "copies"])
+        [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(row), pa.array(start), pa.array(copies)],
+        names=["anchor", "seg", "n", "doc", "row", "start", "copies"])
 
 
 def _found(batch, units, window, gram):
-    """Segment columns of a batch, in (doc, start) order."""
-    rows = sorted(((d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t), key=lambda r: r[0])
+    """Segment columns of a batch, in (doc, row, start) order."""
+    rows = sorted((r for r in zip(*(batch.column(i).to_pylist() for i in range(3))) if r[2]), key=lambda r: r[:2])
     size, part = 0, []
-    for doc, text in rows:
+    for doc, row, text in rows:
         anchor, seg, start, n = segments(units(text.encode()), window, gram)
-        part.append((anchor, seg, n, np.full(len(n), doc, np.int64), start))
+        part.append((anchor, seg, n, np.full(len(n), doc, np.int64), np.full(len(n), row, np.int64), start))
         size += len(n)
         if size > 400_000:
             yield tuple(np.concatenate(x) for x in zip(*part))
@@ -99,12 +99,12 @@ def _folded(units, window, gram):
     """One row per different segment of a batch: its first occurrence and its copies."""
     def run(batches):
         for b in batches:
-            for anchor, seg, n, doc, start in _found(b, units, window, gram):
-                order = np.argsort(anchor * _BASE + seg, kind="stable")  # rows are in (doc, start) order
-                anchor, seg, n, doc, start = (x[order] for x in (anchor, seg, n, doc, start))
+            for anchor, seg, n, doc, row, start in _found(b, units, window, gram):
+                order = np.argsort(anchor * _BASE + seg, kind="stable")  # rows are in (doc, row, start) order
+                anchor, seg, n, doc, row, start = (x[order] for x in (anchor, seg, n, doc, row, start))
                 head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])])) if len(n) else np.empty(0, np.int64)
                 copies = np.diff(head, append=len(n))
-                yield _batch(anchor[head], seg[head], n[head], doc[head], start[head], copies.astype(np.int64))
+                yield _batch(anchor[head], seg[head], n[head], doc[head], row[head], start[head], copies.astype(np.int64))
 
     return run
 
@@ -123,38 +123,39 @@ def _suspected(units, window, gram, bits):
 
 
 def _contents(cut: Callable):
-    """The content of each wanted segment of a document."""
+    """The content of each wanted segment of a row."""
     def run(batches):
         for b in batches:
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for doc, row, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
                 data = cut((text or "").encode(), [(w["start"], w["start"] + w["len"]) for w in wanted])
                 cols = [[w[k] for w in wanted] for k in ("anchor", "seg", "n", "start")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                     pa.array([doc] * len(wanted), pa.int64()), pa.array(cols[3], pa.int64()), pa.array(data, pa.binary())],
-                    names=["anchor", "seg", "n", "doc", "start", "content"])
+                     pa.array([doc] * len(wanted), pa.int64()), pa.array([row] * len(wanted), pa.int64()), pa.array(cols[3], pa.int64()),
+                     pa.array(data, pa.binary())], names=["anchor", "seg", "n", "doc", "row", "start", "content"])
 
     return run
 
 
-_FIRST = "anchor long, seg long, off int, len int, fdoc long, fstart long"
+_FIRST = "anchor long, seg long, off int, len int, fdoc long, frow long, fstart long"
 
 
 def _resolver(index: Callable, window: int):
     """First starts of all windows of a shard's segments, as runs of equal shift."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "start"], kind="stable")
-        n, doc, start = pdf["n"].to_numpy(np.int64), pdf["doc"].to_numpy(), pdf["start"].to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pdf = pdf.sort_values(["doc", "row", "start"], kind="stable")
+        n, doc, row, start = pdf["n"].to_numpy(np.int64), pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["start"].to_numpy()
+        nth = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))  # the texts by number
+        seg = np.repeat(np.arange(len(n)), n)
+        off = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
         # first: for each window the number of the window, in this order, at which its content first starts
-        first = index(pdf["content"].tolist(), n, doc[row], start[row] + off)
-        fdoc, fstart = doc[row][first], (start[row] + off)[first]
-        head = np.concatenate([[True], (row[1:] != row[:-1]) | (fdoc[1:] != fdoc[:-1]) | (np.diff(fstart) != 1)])
+        first = index(pdf["content"].tolist(), n, nth[seg], start[seg] + off)
+        fnth, fstart = nth[seg][first], (start[seg] + off)[first]
+        head = np.concatenate([[True], (seg[1:] != seg[:-1]) | (fnth[1:] != fnth[:-1]) | (np.diff(fstart) != 1)])
         head = np.flatnonzero(head)
         return pd.DataFrame({
-            "anchor": pdf["anchor"].to_numpy()[row[head]], "seg": pdf["seg"].to_numpy()[row[head]], "off": off[head].astype(np.int32),
-            "len": np.diff(head, append=len(row)).astype(np.int32), "fdoc": fdoc[head], "fstart": fstart[head]})
+            "anchor": pdf["anchor"].to_numpy()[seg[head]], "seg": pdf["seg"].to_numpy()[seg[head]], "off": off[head].astype(np.int32),
+            "len": np.diff(head, append=len(seg)).astype(np.int32), "fdoc": doc[seg][first][head], "frow": row[seg][first][head], "fstart": fstart[head]})
 
     return run
 
@@ -163,45 +164,55 @@ def _windows(hashed: Callable, window: int):
     """Each window of the given segments with two hashes of its content."""
     def run(batches):
         for b in batches:
-            for anchor, seg, n, doc, start, content in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for anchor, seg, n, doc, row, start, content in zip(*(b.column(i).to_pylist() for i in range(7))):
                 h = hashed(content)
                 at = np.arange(n)
                 one, two = (Runs(x).of(at, at + window).view(np.int64) for x in (h, mix(h)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, anchor)), pa.array(np.full(n, seg)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two),
-                     pa.array(np.full(n, doc)), pa.array(start + at)], names=["anchor", "seg", "off", "w1", "w2", "doc", "start"])
+                     pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(start + at)],
+                    names=["anchor", "seg", "off", "w1", "w2", "doc", "row", "start"])
 
     return run
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(doc, row, doc_id, text): doc orders the rows, row tells rows of one or no doc_id apart by their text."""
+    return docs.select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), F.xxhash64("text").alias("row"), "doc_id", "text")
+
+
 def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Callable, index: Callable, window: int,
                    gram: int, shard_units: int = SHARD_UNITS, max_variants: int = MAX_VARIANTS) -> DataFrame:
-    """(doc, fdoc, from, to): spans of (doc, text) made of windows that started earlier, in document fdoc.
-
-    "Earlier" is a smaller (doc, start). units(bytes) gives 64-bit units, cut(bytes,
-    spans) the content of spans of units, hashed(content) its units again, and
-    index(contents, windows per content, doc, start) for each window the number of
-    the first equal one.
+    """(doc, row, fdoc, frow, from, to, fstart): spans of (doc, row, text) whose windows first start elsewhere.
+
+    A window's first start is that of the smallest (doc, row, start); it lies at fstart
+    of (fdoc, frow), and further windows of the span follow there. A text is addressed by
+    (doc, row), so rows that share a doc must differ in row unless their texts are equal.
+    units(bytes) gives 64-bit units, cut(bytes, spans) the content of spans of units,
+    hashed(content) its units again, and index(contents, windows per content, number of
+    the text, start) for each window the number of the first equal one.
     """
     def sized(df, n):
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-    first = F.min(F.struct("doc", "start")).alias("first")
+    first = F.min(F.struct("doc", "row", "start")).alias("first")
     folded = docs.mapInArrow(_folded(units, window, gram), _SEGMENT).repartition("anchor").groupBy("anchor", "seg", "n").agg(
         first, F.sum("copies").alias("copies"))
     own = Window.partitionBy("anchor")  # the layout is there already, and copies are folded
     repeated = folded.withColumn("all", F.sum("copies").over(own)).withColumn("variants", F.count("*").over(own)).where("all > 1").select(
-        "anchor", "seg", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "variants")
+        "anchor", "seg", "n", "first.doc", "first.row", "first.start", "variants")
     repeated = stored(repeated, "repeated-segments")
 
     single = repeated.where("variants = 1").select(
-        "anchor", "seg", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("doc").alias("fdoc"), F.col("start").alias("fstart"))
+        "anchor", "seg", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("doc").alias("fdoc"), F.col("row").alias("frow"), F.col("start").alias("fstart"))
     several = repeated.where("variants > 1").withColumn("len", F.col("n") + window - 1)
-    per_doc = several.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("anchor", "seg", "n", "start", "len")).alias("wanted"))
-    ids = several.select(F.col("doc").alias("_id")).distinct()
-    holders = docs.join(sized(ids, ids.count()), F.col("doc") == F.col("_id"), "left_semi")
-    contents = holders.join(per_doc, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted").mapInArrow(
-        _contents(cut), "anchor long, seg long, n int, doc long, start long, content binary")
+    per_row = several.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(
+        F.collect_list(F.struct("anchor", "seg", "n", "start", "len")).alias("wanted"))
+    ids = several.select(F.col("doc").alias("_doc"), F.col("row").alias("_row")).distinct()
+    same = (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row"))
+    holders = docs.join(sized(ids, ids.count()), same, "left_semi")
+    contents = holders.join(per_row, same).select("doc", "row", "text", "wanted").mapInArrow(
+        _contents(cut), "anchor long, seg long, n int, doc long, row long, start long, content binary")
     contents = stored(contents.dropDuplicates(["anchor", "seg"]), "segment-contents")
     sizes = several.agg(F.sum("len").alias("units")).collect()[0]["units"] or 0
     crowded = several.where(F.col("variants") > max_variants).select(F.col("anchor").alias("_a")).distinct()
@@ -211,27 +222,48 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     shard = F.when(F.col("_l").isNull(), dealt).otherwise(F.concat(F.lit("a"), "anchor"))  # large anchors have their own
     resolved = usual.join(large, F.col("anchor") == F.col("_l"), "left").withColumn("shard", shard).groupBy("shard").applyInPandas(_resolver(index, window), _FIRST)
     split = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_semi").mapInArrow(
-        _windows(hashed, window), "anchor long, seg long, off int, w1 long, w2 long, doc long, start long")
+        _windows(hashed, window), "anchor long, seg long, off int, w1 long, w2 long, doc long, row long, start long")
     split = stored(split, "crowded-windows")
     starts = split.groupBy(F.col("w1").alias("_1"), F.col("w2").alias("_2")).agg(first)
     alone = split.join(starts, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).select(
-        "anchor", "seg", "off", F.lit(1).alias("len"), F.col("first.doc").alias("fdoc"), F.col("first.start").alias("fstart"))
+        "anchor", "seg", "off", F.lit(1).alias("len"), F.col("first.doc").alias("fdoc"), F.col("first.row").alias("frow"), F.col("first.start").alias("fstart"))
     firsts = stored(single.unionByName(resolved).unionByName(alone), "first-starts")
 
     anchors = repeated.select(F.col("anchor").alias("h")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(merged_filter(anchors, repeated.count(), MAX_BITS))
-    occurrences = docs.mapInArrow(_suspected(units, window, gram, bits), _SEGMENT).select("anchor", "seg", "doc", "start")
-    looked_up = firsts.select(F.col("anchor").alias("_a"), F.col("seg").alias("_s"), "off", "len", "fdoc", "fstart")
-    covered = occurrences.join(looked_up, (F.col("anchor") == F.col("_a")) & (F.col("seg") == F.col("_s"))).where(
-        (F.col("fdoc") < F.col("doc")) | (F.col("fdoc") == F.col("doc")) & (F.col("fstart") < F.col("start") + F.col("off")))
-    return covered.select("doc", "fdoc", (F.col("start") + F.col("off")).alias("from"),
-                           (F.col("start") + F.col("off") + F.col("len") + F.lit(window - 1)).alias("to"))
+    occurrences = docs.mapInArrow(_suspected(units, window, gram, bits), _SEGMENT).select("anchor", "seg", "doc", "row", "start")
+    looked_up = firsts.select(F.col("anchor").alias("_a"), F.col("seg").alias("_s"), "off", "len", "fdoc", "frow", "fstart")
+    at = F.col("start") + F.col("off")
+    elsewhere = occurrences.join(looked_up, (F.col("anchor") == F.col("_a")) & (F.col("seg") == F.col("_s"))).where(
+        (F.col("fdoc") < F.col("doc")) | (F.col("frow") != F.col("row")) | (F.col("fstart") < at))
+    return elsewhere.select("doc", "row", "fdoc", "frow", at.alias("from"), (at + F.col("len") + F.lit(window - 1)).alias("to"), "fstart")
+
+
+def spans_by_row(spans: DataFrame) -> DataFrame:
+    """(_doc, _row, spans, shared): each row's spans that start earlier, packed into one number each (a text has
+    fewer than 2^31 units), and those that first start in another row of the same doc, which is not earlier."""
+    earlier = (F.col("fdoc") < F.col("doc")) | (F.col("frow") == F.col("row"))
+    packed = F.shiftleft(F.col("from").cast("long"), 31) + F.col("to")
+    # sets, because equal rows of one doc_id find the same spans
+    return spans.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(
+        F.collect_set(F.when(earlier, packed)).alias("spans"), F.collect_set(F.when(~earlier, F.struct(packed.alias("span"), "frow", "fstart"))).alias("shared"))
 
 
-def spans_by_doc(spans: DataFrame) -> DataFrame:
-    """(_doc, spans): each document's spans, packed into one number each (a text has fewer than 2^31 units)."""
-    packed = F.shiftleft(F.col("from").cast("long"), 31) + F.col("to")
-    return spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(packed).alias("spans"))
+def repeats_inside(shared: list[dict], window: int) -> np.ndarray:
+    """Packed spans of the windows of one row that also start further left in it.
+
+    Windows are equal if they first start at the same place, here in another row.
+    """
+    packed, frow, fstart = (np.array([x[k] for x in shared], np.int64) for k in ("span", "frow", "fstart"))
+    start = packed >> 31
+    n = (packed & (2**31 - 1)) - start - window + 1
+    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at, frow, fstart = np.repeat(start, n) + off, np.repeat(frow, n), np.repeat(fstart, n) + off
+    order = np.lexsort((at, fstart, frow))
+    at, frow, fstart = at[order], frow[order], fstart[order]
+    head = np.concatenate([[True], (frow[1:] != frow[:-1]) | (fstart[1:] != fstart[:-1])])
+    again = at[at > at[np.flatnonzero(head)][np.cumsum(head) - 1]]
+    return (again << 31) + again + window
 
 
 def merged_spans(column: pa.ListArray):

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erashift.llm.anchors import merged_spans, repeated_spans, spans_by_doc
-from erashift.llm.common import ORPHAN, texts, word_hashes
+from erashift.llm.anchors import keyed_rows, merged_spans, repeated_spans, spans_by_row
+from erashift.llm.common import texts, word_hashes
 
 WINDOW_WORDS, GRAM_WORDS = 50, 8
 
@@ -119,11 +119,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of 50 words that covers it also starts in a document with a
     smaller doc_id, judged on the input. NULL and empty texts have no words. Rows without
-    a doc_id are one document after all others. doc_id is expected to be unique: of rows
-    that share one, equal texts are equal documents and stay whole against each other.
+    a doc_id come after all others. Every row is judged by itself; of rows that share a
+    doc_id, or have none, no one is earlier than another.
     """
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "doc_id", "text")
-    spans = repeated_spans(rows.select("doc", "text"), word_hashes, cut_words, word_hashes, automaton_index, WINDOW_WORDS, GRAM_WORDS, **sizes)
-    gone = spans_by_doc(spans.where("fdoc < doc"))
-    return rows.join(gone, F.col("doc") == F.col("_doc"), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
+    rows = keyed_rows(texts(docs, id_col, text_col))
+    spans = repeated_spans(rows.select("doc", "row", "text"), word_hashes, cut_words, word_hashes, automaton_index, WINDOW_WORDS, GRAM_WORDS, **sizes)
+    gone = spans_by_row(spans.where("fdoc < doc"))
+    return rows.join(gone, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

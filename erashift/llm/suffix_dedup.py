@@ -12,11 +12,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erashift.llm.anchors import merged_spans, repeated_spans, spans_by_doc
-from erashift.llm.common import ORPHAN, mix, texts
+from erashift.llm.anchors import keyed_rows, merged_spans, repeated_spans, repeats_inside, spans_by_row
+from erashift.llm.common import mix, texts
 
 WINDOW_BYTES, GRAM_BYTES = 100, 20
 MAX_VARIANTS = 8_000  # of at most 180 bytes each: 1.4 million units
@@ -91,7 +92,11 @@ def cut_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 def _remove(batches):
     for b in batches:
         out = []
-        for text, (starts, ends) in zip(b.column(2).to_pylist(), merged_spans(b.column(3))):
+        spans = b.column(3)
+        if pc.any(pc.greater(pc.list_value_length(b.column(4)), 0)).as_py():
+            spans = pa.array([np.concatenate([np.array(x or [], np.int64), repeats_inside(y, WINDOW_BYTES)]) if y else x
+                              for x, y in zip(spans.to_pylist(), b.column(4).to_pylist())], pa.list_(pa.int64()))
+        for text, (starts, ends) in zip(b.column(2).to_pylist(), merged_spans(spans)):
             raw = (text or "").encode()
             kept, at = [], 0
             for x, y in zip(starts.tolist(), ends.tolist()):
@@ -110,14 +115,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes.
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a smaller
-    doc_id or further to the left in the same document, overlaps included, judged on the
+    doc_id or further to the left in the same text, overlaps included, judged on the
     input. NULL texts are empty. What stays need not be valid UTF-8. Rows without a doc_id
-    are one document after all others. doc_id is expected to be unique: rows that share
-    one are judged as copies of one document, none earlier than another.
+    come after all others. Every row is judged by itself; of rows that share a doc_id, or
+    have none, no one is earlier than another.
     """
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), "doc_id", "text")
-    spans = repeated_spans(rows.select("doc", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES,
+    rows = keyed_rows(texts(docs, id_col, text_col))
+    spans = repeated_spans(rows.select("doc", "row", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES,
                            max_variants=max_variants, **sizes)
-    gone = spans_by_doc(spans)
-    return rows.join(gone, F.col("doc") == F.col("_doc"), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
+    gone = spans_by_row(spans)
+    return rows.join(gone, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left").select(
+        "doc", "doc_id", "text", "spans", "shared").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

@@ -127,6 +127,51 @@ def test_substring_and_suffix_odd_rows(odd, empty):
         assert op(empty).count() == 0
 
 
+def _shared_ids(spark):
+    """Long rows without an id or with one in common: texts of their own, parts of smaller ids, and parts of each other."""
+    import random
+
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    old, both, passage = prose(70), prose(65), prose(60)
+    rows = [(1, f"{prose(90)} {old}"), (2, prose(130))]
+    for i in (None, 5):
+        rows += [(i, f"{prose(10 * k)} {old if k % 2 else prose(70)} {prose(60)} {both} {prose(k)}") for k in range(4)]
+        rows += [(i, f"{prose(20)} {passage} {prose(7)} {passage} {prose(60)} {both}"), (i, prose(140)), (i, prose(140))]
+        rows += [rows[-1]] * 2
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def _shared_brute(rows, units, window):
+    """Removed units of each row: covered by windows of smaller ids or, where window positions count, further left."""
+    first, out = {}, []
+    rank = lambda i: (i is None, i or 0)
+    for i, t in rows:
+        u = units(t)
+        for a in range(len(u) - window + 1):
+            w = tuple(u[a:a + window])
+            first[w] = min(first.get(w, rank(i)), rank(i))
+    for i, t in rows:
+        u, own, gone = units(t), set(), set()
+        for a in range(len(u) - window + 1):
+            w = tuple(u[a:a + window])
+            if first[w] < rank(i) or window == 100 and w in own:
+                gone.update(range(a, a + window))
+            own.add(w)
+        kept = [x for a, x in enumerate(u) if a not in gone]
+        out.append((i, len(u), len(gone), sha(bytes(kept) if window == 100 else " ".join(kept).encode())))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_variants": 1, "shard_units": 200}])
+def test_substring_and_suffix_rows_that_share_an_id(spark, rows, sizes):
+    given, table = _shared_ids(spark)
+    got = rows(substring_dedup.substring_dedup(table, **sizes), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == _shared_brute(given, words, 50)
+    got = rows(suffix_dedup.suffix_dedup(table, **sizes), "doc_id", "n_bytes", "n_removed", "kept_sha256")
+    assert got == _shared_brute(given, lambda t: t.encode(), 100)
+
+
 def test_suffix_array_against_sorting():
     import numpy as np
 
