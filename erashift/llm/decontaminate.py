@@ -71,36 +71,52 @@ def minima(shingles: DataFrame, threshold_pct: int) -> DataFrame:
                           F.ceil(upper / 2 * threshold_pct / 100).cast("int").alias("least"))
 
 
-def find_contaminated(docs: DataFrame, items: DataFrame, threshold_pct: int = THRESHOLD_PCT, id_col: str = "doc_id",
-                      text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs (doc_id, item_id, n_item, n_shared, containment) at or above the threshold.
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What a row is judged by: its id and a hash of its text, so that rows of one or no id stay apart."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(ORPHAN)), F.xxhash64(docs[text_col].cast("string"))
 
-    NULL, empty and very short texts contain nothing. Rows that share a doc_id are
-    one document, rows without one another.
-    """
+
+def _contaminated(docs: DataFrame, items: DataFrame, threshold_pct: int, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
+    """_doc, _row, item_id, n, n_shared of the pairs at or above the threshold."""
     shingles = stored(item_shingles(items, item_id, item_text), "item-shingles")
     index = stored(minima(shingles, threshold_pct), "item-minima")
     n_index, n_shingles = index.count(), shingles.count()
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(ORPHAN)).alias("_doc"), words(docs[text_col]).alias("_w"))
-    probes = rows.select("_doc", shingle_hashes(F.col("_w")).alias("_all"))
-    probes = probes.select("_doc", F.size("_all").alias("_n"), F.explode_outer("_all").alias("_hash"))
+    doc, row = _row_key(docs, id_col, text_col)
+    rows = docs.select(doc.alias("_doc"), row.alias("_row"), words(docs[text_col]).alias("_w"))
+    probes = rows.select("_doc", "_row", shingle_hashes(F.col("_w")).alias("_all"))
+    probes = probes.select("_doc", "_row", F.size("_all").alias("_n"), F.explode_outer("_all").alias("_hash"))
     hits = probes.join(_sized(index, n_index), F.col("_hash") == F.col("hash"))
-    candidates = stored(hits.groupBy("_doc", "item_id").agg(F.sum("_n").alias("_room"), F.max("least").alias("least"))
+    candidates = stored(hits.groupBy("_doc", "_row", "item_id").agg(F.sum("_n").alias("_room"), F.max("least").alias("least"))
                         .where("_room >= least").drop("_room", "least"), "candidates")
-    ids = candidates.select(F.col("_doc").alias("_cand")).distinct()
+    ids = candidates.select(F.col("_doc").alias("_cand"), F.col("_row").alias("_cand_row")).distinct()
     n_ids = ids.count()
-    suspected = rows.join(_sized(ids, n_ids), F.col("_doc") == F.col("_cand"), "left_semi")
-    texts = suspected.select("_doc", F.explode_outer(F.array_distinct(shingle_texts(F.col("_w")))).alias("_shingle"))
-    shared = texts.join(_sized(shingles, n_shingles), F.col("_shingle") == F.col("shingle")).groupBy("_doc", "item_id", "n").agg(
+    suspected = rows.join(_sized(ids, n_ids), (F.col("_doc") == F.col("_cand")) & (F.col("_row") == F.col("_cand_row")), "left_semi")
+    texts = suspected.select("_doc", "_row", F.explode_outer(F.array_distinct(shingle_texts(F.col("_w")))).alias("_shingle"))
+    shared = texts.join(_sized(shingles, n_shingles), F.col("_shingle") == F.col("shingle")).groupBy("_doc", "_row", "item_id", "n").agg(
         F.count_distinct("shingle").alias("n_shared"))
     found = shared.where(F.col("n_shared") * 100 >= F.col("n") * threshold_pct)
-    pairs = candidates.select(F.col("_doc").alias("_d"), F.col("item_id").alias("_i"))
-    found = found.join(pairs, (F.col("_doc") == F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
+    pairs = candidates.select(F.col("_doc").alias("_d"), F.col("_row").alias("_r"), F.col("item_id").alias("_i"))
+    same = (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")) & F.col("item_id").eqNullSafe(F.col("_i"))
+    return found.join(pairs, same, "left_semi")
+
+
+def find_contaminated(docs: DataFrame, items: DataFrame, threshold_pct: int = THRESHOLD_PCT, id_col: str = "doc_id",
+                      text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Pairs (doc_id, item_id, n_item, n_shared, containment) at or above the threshold.
+
+    NULL, empty and very short texts contain nothing. Every row is judged by itself,
+    whether it shares its doc_id or has none; rows equal in id and text give one pair.
+    The query's SQL takes rows of one doc_id together, which is the same for unique ids.
+    """
+    found = _contaminated(docs, items, threshold_pct, id_col, text_col, item_id, item_text)
     return found.select(F.nullif("_doc", F.lit(ORPHAN)).alias("doc_id"), "item_id", F.col("n").alias("n_item"), "n_shared",
                         (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
-    bad = stored(find_contaminated(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(_sized(bad, bad.count()), docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold_pct: int = THRESHOLD_PCT, id_col: str = "doc_id",
+                  text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; every row is judged by itself."""
+    found = _contaminated(docs, items, threshold_pct, id_col, text_col, item_id, item_text)
+    bad = stored(found.select(F.col("_doc").alias("_bad"), F.col("_row").alias("_bad_row")).distinct(), "contaminated")
+    doc, row = _row_key(docs, id_col, text_col)
+    return docs.join(_sized(bad, bad.count()), (doc == F.col("_bad")) & (row == F.col("_bad_row")), "left_anti")

@@ -68,6 +68,18 @@ def test_decontamination_by_shuffle_and_odd_rows(docs, pairs, items, odd, empty,
     assert sorted(rows(decontaminate.find_contaminated(docs, items[0]), "doc_id", "item_id")) == [p[:2] for p in contained_brute(pairs, items[1])]
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontamination_judges_each_row(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    ws = [f"w{i}" for i in range(20)]
+    item = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+    halves = [" ".join(ws[:12]), " ".join(ws[8:])]  # together they hold the item, alone neither does
+    table = [(i, t) for i in (None, 7) for t in ("x " + " ".join(ws), "a clean text of some more words", None, *halves, *halves[:1])]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(decontaminate.find_contaminated(docs, item), "doc_id", "item_id", "n_shared") == sorted([(7, 1, 16), (None, 1, 16)], key=repr)
+    assert rows(decontaminate.decontaminate(docs, item)) == sorted((r for r in table if not (r[1] or "").startswith("x")), key=repr)
+
+
 @pytest.mark.parametrize("key, label, folds, fold, cut", [("op4_toxicity", "toxic", 5, 0, 0.5), ("op7_quality", "quality", 4, 2, 0.7)])
 def test_held_out_accuracy(spark, key, label, folds, fold, cut):
     sf = "/root/testdata/sf0.1" if label == "toxic" else "/root/testdata/sf0.01"
