@@ -8,7 +8,6 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from erashift import session
 from erashift.llm import decontaminate, mixing, near_dedup, sharding, toxicity
@@ -35,10 +34,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, at most twice."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]))
-    repeats = F.explode(F.sequence(F.lit(1), taken["copies"].cast("int")))
-    return joined.select(*[docs[c] for c in docs.columns], repeats.alias("copy")).drop("copy")
+    return mixing.mixed_documents(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from erashift.llm.common import digits_for, running_total, stored
@@ -62,25 +62,28 @@ def last_finish(copies: DataFrame, budget: float, slices: int) -> float | None:
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE,
                 most: int = MOST_REPEATS, id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source") -> DataFrame:
-    """Every row with doc_id, source, size, source_size, target, copies, taken.
+                source_col: str = "source", row_key: Column | None = None) -> DataFrame:
+    """Every row with doc_id, source, size, source_size, target, copies, taken, and row_key if one is given.
 
     size counts the words of the text (NULL: 0). A source's documents queue in the
     order of a hash of their id, the whole queue up to most times; a copy's finish
     time is the queued words of its source up to and with it, divided by the
     source's target. Copies are served in the order of finish times until the
     total budget is reached, so every source ends near its target. Documents
-    without words are taken zero times over. Reruns agree.
+    without words are taken zero times over. Reruns agree; which of several rows equal
+    in id and size is taken is definite only with a row_key.
     """
+    extra = [] if row_key is None else [row_key.cast("long").alias("row_key")]
+    keys = ["row_key"] * len(extra)
     rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"),
+        *extra, docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"),
         F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     rows = stored(rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-rows")
     n = rows.count()
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, budget_share, most), "mix-targets")
     rows = rows.withColumn("_bucket", F.substring("_order", 1, digits_for(n)))
-    queued = running_total(rows, ["source"], "_bucket", [F.col("_order"), F.col("doc_id"), F.col("size")], F.col("size"), "_queued")
+    queued = running_total(rows, ["source"], "_bucket", [F.col(c) for c in ("_order", "doc_id", "size", *keys)], F.col("size"), "_queued")
     targets = targets.withColumnRenamed("source", "_source")
     queued = queued.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "_order", "_bucket")
     queued = stored(queued, "mix-queue")
@@ -93,5 +96,25 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_shar
     end = last_finish(copies.select("size", finish(F.col("_copy")).alias("finish")), budget, max(1, n * most // _PER_SLICE))
     served = [F.coalesce(finish(F.lit(c)) <= F.lit(end), F.lit(False)) if end is not None else F.col("target") > 0 for c in range(most)]
     taken = sum((s.cast("long") for s in served[1:]), served[0].cast("long"))
-    return queued.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"),
+    return queued.select(*keys, "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"),
                          "target", F.coalesce(taken, F.lit(0)).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """Each row of docs, with all its columns, as many times as the mix takes that row; equal rows share their copies."""
+    def key(df):
+        return F.xxhash64(*[df[c] for c in df.columns])
+
+    def repeated(df, taken):
+        same = (key(df) == F.col("_mix_key")) & df[id_col].cast("long").eqNullSafe(F.col("_mix_id")) & df[source_col].cast("string").eqNullSafe(F.col("_mix_source"))
+        copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
+        return df.join(taken, same).select(*[df[c] for c in df.columns], copies.alias("_copy")).drop("_copy")
+
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, row_key=key(docs), **how)
+    taken = stored(mixed.groupBy(F.col("row_key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(
+        F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).where("_mix_copies > 0"), "mix-taken")
+    out, several = repeated(docs, taken.where("_mix_rows = 1")), taken.where("_mix_rows > 1")
+    if several.isEmpty():
+        return out
+    alike = docs.join(several.select(F.col("_mix_key").alias("_mix_several")), key(docs) == F.col("_mix_several"), "left_semi").dropDuplicates()
+    return out.unionByName(repeated(alike, several))

@@ -173,6 +173,23 @@ def test_mixing_odd_rows(odd, empty, spark):
     assert [(r["target"], r["taken"]) for r in mixing.mix_sources(wordless).collect()] == [(0.0, 0)] * 2
 
 
+def test_pipeline_mix_takes_rows_not_ids(spark):
+    from collections import Counter
+
+    table = [(i, f"text number {k} " + "word " * (k % 5), s) for i in (None, 7) for k in range(30) for s in ("a", "b")]
+    table += [(None, "one and the same row", "c")] * 5 + [(k, f"other text {k}", "c") for k in range(10, 30)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3).cache()
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert not {tuple(r) for r in got} - set(table)
+    assert all(n <= 2 * table.count(r) for r, n in Counter(tuple(r) for r in got).items())
+    words_of, want = Counter(), Counter()
+    for r in got:
+        words_of[r["source"]] += len(words(r["text"]))
+    for r in mixing.mix_sources(docs).collect():
+        want[r["source"]] += r["taken"]
+    assert words_of == want
+
+
 def test_sharding_laws(docs, pairs, odd, empty):
     got = sharding.assign_shards(docs, 16).collect()
     by_id = dict(pairs)
