@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erashift import session
-from erashift.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from erashift.llm import (
+    decontaminate, exact_dedup, hard_negatives, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup,
+    toxicity, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +166,32 @@ from d left join s using (doc_id) group by d.doc_id
 """)
 def op8(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
+@query("op11_license_scan", licenses.oracle_sql())
+def op11(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", """
+with u as (select vec_id, label, embedding from embeddings where vec_id is not null and label is not null and embedding is not null
+           and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+r as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda c: floor(256 * c::double)) as x from u),
+s as materialized (select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id, list_inner_product(a.x, r.x)::bigint as score
+                   from r a join r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over w as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 5
+""")
+def op13(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
+    return hard_negatives.mine_hard_negatives(vectors, vectors["vec_id"] % 100 == 0, shifted)
