@@ -8,11 +8,12 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from erashift.llm.common import texts
+from erashift.llm.common import stored, texts
 
-MAX_TRAIN_ROWS = 6_000        # labelled rows a model is fitted on, at most
-MAX_TRAIN_BYTES = 256 * 1024  # longer texts are scored, but not fitted on
+MAX_TRAIN_ROWS = 6_000  # labelled rows a model is fitted on, at most
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -24,21 +25,39 @@ def remainder_of(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Column], Column],
-                  max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most max_rows labelled documents, chosen by a hash of their id.
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Column], Column], max_rows: int) -> DataFrame:
+    """doc_id, y, digest (SHA-256), text of at most max_rows labelled documents, chosen by a hash of their id.
 
-    Half of the sample goes to each class if it has that many; a document that is
-    labelled more than once counts as 1 if any row says so.
+    Half of the sample goes to each class if it has that many; a document that is labelled more than once counts as 1
+    if any row says so. Texts are whole, of any length, stay on the executors and are dealt evenly to them.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("_doc"), labels[label].cast("int").alias("_y")).dropna()
     known = known.where(usable(F.col("_doc"))).groupBy("_doc").agg(F.max("_y").alias("_y"))
     by_hash = F.xxhash64("_doc")
     parts = [known.where(F.col("_y") == y).orderBy(by_hash, "_doc").limit(max_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most max_rows pairs of numbers
-    rows = texts(docs).join(chosen, F.col("doc_id") == F.col("_doc")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    got = sorted(rows.select("doc_id", "text", "_y").dropDuplicates(["doc_id"]).collect())
-    return [r["text"] for r in got], [r["_y"] for r in got]
+    rows = texts(docs).where("text is not null").join(chosen, F.col("doc_id") == F.col("_doc"))
+    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    return stored(rows.select("doc_id", F.col("_y").alias("y"), F.sha2("text", 256).alias("digest"), "text").repartition(spread, "doc_id"), f"{label}-texts")
+
+
+def training_features(rows: DataFrame, features: Callable[[str], tuple], schema: str) -> DataFrame:
+    """doc_id, y and what features(text) returns for each document of training_texts(); no text goes further.
+
+    Of several texts with one id the one with the smallest SHA-256 counts.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [t.type for t in to_arrow_schema(StructType.fromDDL(schema))]
+
+    def run(batches):
+        for b in batches:
+            made = list(zip(*map(features, b.column(3).to_pylist()))) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(m, t) for m, t in zip(made, kinds))],
+                                             names=["doc_id", "y", "digest", *names])
+
+    made = rows.mapInArrow(run, f"doc_id long, y int, digest string, {schema}")
+    first = F.min(F.struct("digest", *names)).alias("first")
+    return made.groupBy("doc_id", "y").agg(first).select("doc_id", "y", *[F.col(f"first.{n}").alias(n) for n in names])
 
 
 def score_rows(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], held_out: Callable[[int | None], bool],

@@ -7,6 +7,8 @@ n-grams with the word it hides.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 import zlib
@@ -14,9 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from erashift.llm.labelled import MAX_TRAIN_ROWS, remainder, remainder_of, score_rows, training_rows
+from erashift.llm.common import stored
+from erashift.llm.labelled import MAX_TRAIN_ROWS, remainder, remainder_of, score_rows, training_features, training_texts
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.5
 BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 20, 8, 250, 0.05, 1e-5
@@ -37,13 +42,14 @@ def gram_buckets(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
-def _mean_matrix(rows: list[list[int]], sizes: list[int]):
+_known_buckets = functools.lru_cache(20_000)(gram_buckets)  # common words come in most texts
+
+
+def _mean_matrix(index: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
     """Index, weights, row starts and row lengths of a sparse matrix that averages over sizes[i]
-    entries, of which rows[i] lists those that are not zero; no row is empty."""
-    index = np.fromiter((i for r in rows for i in r), np.int64)
-    lengths = np.array([len(r) for r in rows])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    return index, np.repeat(1 / np.array(sizes, np.float32), lengths), starts, lengths
+    entries, of which the next lengths[i] of index are not zero; no row is empty."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    return index, np.repeat((1 / sizes).astype(np.float32), lengths), starts, lengths
 
 
 def _times(m, x: np.ndarray) -> np.ndarray:
@@ -95,63 +101,91 @@ class ToxicityModel:
         return score
 
 
-def telling_grams(bags: list[list[str]], label: np.ndarray) -> np.ndarray:
-    """Mask of the n-gram buckets whose share of texts differs between the classes.
+def telling(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which n-gram buckets' share of texts differs between the classes: seen[c, bucket] of the n[c] texts of class c.
 
     Only these get a vector of their own; all others keep zero, so that thousands
     of chance n-grams don't add up in a long text.
     """
-    n1 = int(label.sum())
-    n0 = len(label) - n1
-    seen = np.zeros((2, BUCKETS))
-    of_word: dict[str, list[int]] = {}
-    for bag, y in zip(bags, label):
-        grams = [g for w in bag for g in (of_word.get(w) or of_word.setdefault(w, gram_buckets(w)))]
-        seen[y, np.unique(np.array(grams, np.int64))] += 1
-    p = seen.sum(0) / len(label)
-    z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    p = seen.sum(0) / n.sum()
+    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
     return (np.abs(z) >= MIN_Z) & (seen.sum(0) >= MIN_TEXTS)
 
 
+def word_number(word: str) -> int:
+    """A word's 64-bit number."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def grams_of_text(text: str) -> tuple[int, list[int]]:
+    """How many different words a text has, and their n-gram buckets."""
+    bag = words_of(text)
+    return len(bag), sorted({g for w in bag for g in _known_buckets(w)})
+
+
+def telling_words(text: str, used: set[int]) -> tuple[int, list[dict]]:
+    """How many different words a text has, and those with a bucket among used: number, n-grams, buckets among used."""
+    bag = words_of(text)
+    out = []
+    for w in bag:
+        grams = _known_buckets(w)
+        mine = [g for g in grams if g in used]
+        if mine:
+            out.append({"number": word_number(w), "size": len(grams), "grams": mine})
+    return len(bag), out
+
+
+@dataclass
+class Labelled:
+    """The labelled texts as flat arrays of numbers."""
+
+    label: np.ndarray        # of each text with words
+    bag_size: np.ndarray     # its different words
+    word_count: np.ndarray   # how many of them are in word_of
+    word_of: np.ndarray      # numbers of these words, text after text
+    number: np.ndarray       # the different words, ascending
+    size: np.ndarray         # the n-grams of each
+    gram_count: np.ndarray   # how many of them are in gram_of
+    gram_of: np.ndarray      # their buckets, word after word
+
+
+def constant(y: np.ndarray) -> ToxicityModel:
+    """The model that answers the share of label 1 (0 if there is no label)."""
+    share = min(max(float(np.mean(y)) if len(y) else 0.0, 1e-9), 1 - 1e-9)
+    return ToxicityModel({}, math.log(share / (1 - share)))
+
+
 def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
-    """Fit embeddings and softmax together, both classes weighing the same.
+    """fit_flat() on a few texts at hand.
 
     Without both classes, or without a telling n-gram, the model answers the share
     of label 1 (0 if there is no label).
     """
-    share = min(max(float(np.mean(y)) if y else 0.0, 1e-9), 1 - 1e-9)
-    constant = ToxicityModel({}, math.log(share / (1 - share)))
-    bags = [words_of(t) for t in texts]
-    full = [i for i, b in enumerate(bags) if b]
-    label = np.array(y, np.int64)[full] if full else np.empty(0, np.int64)
-    if len(np.unique(label)) < 2:
-        return constant
-    keep = telling_grams([bags[i] for i in full], label)
-    used = np.flatnonzero(keep)
-    if not len(used):
-        return constant
-    compact = np.cumsum(keep) - 1
-    number: dict[str, int] = {}
-    word_rows, word_sizes, doc_rows = [], [], []
-    plain: set[str] = set()  # words without a telling n-gram: zero, but counted in the mean
-    for i in full:
-        row = []
-        for w in bags[i]:
-            if w not in number and w not in plain:
-                grams = gram_buckets(w)
-                mine = [int(compact[g]) for g in grams if keep[g]]
-                if mine:
-                    number[w] = len(number)
-                    word_rows.append(mine)
-                    word_sizes.append(len(grams))
-                else:
-                    plain.add(w)
-            if w in number:
-                row.append(number[w])
-        doc_rows.append(row)
-    at = np.array([k for k, r in enumerate(doc_rows) if r])  # the others are the bias alone
-    doc_words = _mean_matrix([doc_rows[k] for k in at], [len(bags[full[k]]) for k in at])
-    word_grams = _mean_matrix(word_rows, word_sizes)
+    bags = [(grams_of_text(t), t, k) for t, k in zip(texts, y)]
+    full = [(g, t, k) for (n, g), t, k in bags if n]
+    n = np.bincount([k for *_, k in full], minlength=2)
+    if not n.all():
+        return constant(np.array(y))
+    seen = np.zeros((2, BUCKETS))
+    for grams, _, k in full:
+        seen[k, grams] += 1
+    used = set(np.flatnonzero(telling(seen, n)).tolist())
+    made = [telling_words(t, used) for _, t, _ in full]
+    words = {w["number"]: w for _, ws in made for w in ws}
+    known = [words[k] for k in sorted(words)]
+    flat = lambda values: np.array(list(values), np.int64)
+    data = Labelled(flat(k for *_, k in full), flat(s for s, _ in made), flat(len(ws) for _, ws in made),
+                    flat(w["number"] for _, ws in made for w in ws), flat(w["number"] for w in known), flat(w["size"] for w in known),
+                    flat(len(w["grams"]) for w in known), flat(g for w in known for g in w["grams"]))
+    return fit_flat(data, epochs, seed) if used else constant(np.array(y))
+
+
+def fit_flat(data: Labelled, epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
+    """Fit embeddings and softmax together, both classes weighing the same."""
+    used, gram_index = np.unique(data.gram_of, return_inverse=True)
+    label, at = data.label, np.flatnonzero(data.word_count)  # the other texts are the bias alone
+    doc_words = _mean_matrix(np.searchsorted(data.number, data.word_of), data.word_count[at], data.bag_size[at])
+    word_grams = _mean_matrix(gram_index, data.gram_count, data.size)
     rng = np.random.default_rng(seed)
     grams = Adam(rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), RATE)
     head = Adam(rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), RATE)
@@ -165,7 +199,7 @@ def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) ->
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(label)), label] -= 1
         p *= weight
-        back = _times_transposed(word_grams, _times_transposed(doc_words, p[at] @ head.value.T, len(number)), len(used))
+        back = _times_transposed(word_grams, _times_transposed(doc_words, p[at] @ head.value.T, len(data.number)), len(used))
         head.move(pooled.T @ p + DECAY * head.value)
         bias.move(p.sum(0, keepdims=True))
         grams.move(back + DECAY * grams.value)
@@ -174,8 +208,35 @@ def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) ->
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
-    """A model from the labelled rows outside the held-out fold, at most max_rows of them."""
-    return fit(*training_rows(docs, labels, "toxic", lambda i: remainder(i, FOLDS) != HELD_OUT_FOLD, max_rows))
+    """A model from the labelled rows outside the held-out fold, at most max_rows of them.
+
+    The executors split the texts and count n-grams. The driver gets the telling buckets, each different word that has
+    one (its buckets), and the numbers of such words per text.
+    """
+    labelled = training_texts(docs, labels, "toxic", lambda i: remainder(i, FOLDS) != HELD_OUT_FOLD, max_rows)
+    bags = stored(training_features(labelled, grams_of_text, "words int, grams array<int>"), "toxicity-grams")
+    n = {(r["y"], r["full"]): r["n"] for r in bags.groupBy("y", (F.col("words") > 0).alias("full")).agg(F.count("*").alias("n")).collect()}
+    texts_of = np.array([n.get((y, True), 0) for y in (0, 1)])
+    alone = constant(np.repeat([0, 1], [n.get((y, True), 0) + n.get((y, False), 0) for y in (0, 1)]))
+    if not texts_of.all():
+        return alone
+    counts = bags.select("y", F.explode("grams").alias("bucket")).groupBy("bucket").agg(
+        F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
+    found = counts.where(F.col("c0") + F.col("c1") >= MIN_TEXTS).toArrow()  # at most BUCKETS rows of three numbers
+    seen = np.stack([found["c0"].to_numpy(), found["c1"].to_numpy()]).astype(np.float64)
+    used = found["bucket"].to_numpy()[telling(seen, texts_of)]
+    if not len(used):
+        return alone
+    shared = docs.sparkSession.sparkContext.broadcast(set(used.tolist()))
+    words_schema = "bag int, words array<struct<number:bigint,size:int,grams:array<int>>>"
+    made = stored(training_features(labelled, lambda text: telling_words(text, shared.value), words_schema), "toxicity-words").where("bag > 0")
+    per_text = made.select("doc_id", "y", "bag", F.col("words.number").alias("numbers")).orderBy("doc_id").drop("doc_id").toArrow()
+    words = made.select(F.explode("words").alias("w")).select("w.*").dropDuplicates(["number"]).orderBy("number").toArrow()
+    flat = lambda table, name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lambda table, name: pc.list_value_length(table[name]).to_numpy().astype(np.int64)
+    plain = lambda table, name: table[name].to_numpy().astype(np.int64)
+    return fit_flat(Labelled(plain(per_text, "y"), plain(per_text, "bag"), sizes(per_text, "numbers"), flat(per_text, "numbers"),
+                             plain(words, "number"), plain(words, "size"), sizes(words, "grams"), flat(words, "grams")))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

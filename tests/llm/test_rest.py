@@ -122,6 +122,36 @@ def test_pairs_rank_better_texts_higher():
     assert min(map(score, good)) >= 0.7 > max(map(score, bad))
 
 
+def test_cut_with_tied_strengths():
+    import numpy as np
+
+    strengths = np.array([0.1] * 30 + [0.7 + 1e-13 * k for k in range(40)] + [0.9] * 30)
+    for below, want in ((0.3, 0.4), (0.5, 0.8), (0.7, 0.8), (0.0, 0.4)):
+        assert math.isclose(quality.cut_at(strengths, np.full(100, 0.01), below), want, abs_tol=1e-6)
+    assert quality.cut_at(strengths, np.full(100, 0.01), 1.0) > 0.9
+
+
+def test_training_reads_long_texts_and_one_text_of_an_id(spark):
+    from erashift.llm.labelled import training_features, training_texts
+
+    docs = spark.createDataFrame([(1, "a" * 2_000_000), (2, "first"), (2, "second"), (2, "first"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 2, 3, 4)] + [(4, 1), (None, 1)], "doc_id long, toxic int")
+    got = training_features(training_texts(docs, labels, "toxic", lambda i: i > 0, 100), lambda t: (len(t), t[:1]), "n int, c string").collect()
+    first = min(("first", "second"), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2_000_000, "a"), (2, 0, len(first), first[0]), (4, 1, 0, "")]
+
+
+def test_distributed_toxicity_fit_equals_the_plain_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 5}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in known and r["text"] is not None)
+    plain = toxicity.fit([t for _, t in rows], [known[i] for i, _ in rows])
+    model = toxicity.train_toxicity(docs, labels)
+    assert model.weight.keys() == plain.weight.keys() and len(model.weight)
+    assert all(math.isclose(model.weight[g], w, rel_tol=0.05, abs_tol=0.05) for g, w in plain.weight.items())
+
+
 def mix_brute(pairs_with_source, weights, share, most):
     import hashlib
 
