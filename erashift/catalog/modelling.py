@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from erashift.catalog.fixtures import SQL_VIEWS
 from erashift.catalog.registry import query, rounded
-from erashift.operators import contracts, models
+from erashift.operators import contracts, linear_fit, models
 from erashift.operators.evaluation import auc_exact
 from erashift.operators.skew import eras_of
 from erashift.plans import experiment
+from erashift.session import cut
 
 FEATURES = ["n_chars", "n_lines", "n_words", "digits", "upper_share", "url_count"]
 
@@ -141,8 +142,15 @@ def feature_importance(t):
     return models.collect_importances(t.spark, [bundle])
 
 
+SQL_VIEWS["ox_kept"] = f"""
+select dataset, col from (select dataset, {', '.join(FEATURES)} from fx_features) unpivot include nulls (v for col in ({', '.join(FEATURES)}))
+group by dataset, col having avg(case when v is null then 1 else 0 end) < 0.99 and min(v) <> max(v)
+"""
+
+
 @query("pairwise_experiment_sizes", """
 select a.train, b.test, case when a.train = b.test then 'within-dataset' else 'cross-era' end as scope,
+  (select count(*) from ox_kept x join ox_kept y using (col) where x.dataset = a.train and y.dataset = b.test) as n_features,
   cast(sum(case when s.dataset = a.train and (a.train <> b.test or s.is_test = 0) then 1 else 0 end) as bigint) as n_train,
   cast(sum(case when s.dataset = b.test and (a.train <> b.test or s.is_test = 1) then 1 else 0 end) as bigint) as n_test
 from ox_split s cross join (select distinct dataset as train from ox_split) a cross join (select distinct dataset as test from ox_split) b
@@ -151,8 +159,77 @@ group by a.train, b.test
 def pairwise_experiment_sizes(t):
     """The part of the experiment's result table that does not depend on a fit."""
     frame = frame_of(t)
-    run = experiment.run_pairwise_experiment(frame, contract_of(frame), eras_of(frame), "ridge", maxIter=5)
-    return run.results.select("train", "test", "scope", "n_train", "n_test")
+    run = experiment.run_pairwise_experiment(frame, contract_of(frame), eras_of(frame), "ridge")
+    return run.results.select("train", "test", "scope", F.col("n_features").cast("bigint").alias("n_features"), "n_train", "n_test")
+
+
+SQL_VIEWS["ox_parts"] = """
+select dataset, 'all' as part, * exclude (dataset) from ox_split union all select dataset, 'train' as part, * exclude (dataset) from ox_split where is_test = 0
+"""
+
+
+@query("era_statistics", f"""
+with t as (select dataset, part, col, v from (select dataset, part, {', '.join(FEATURES)} from ox_parts)
+           unpivot include nulls (v for col in ({', '.join(FEATURES)}))),
+m as (select *, median(v) over (partition by dataset, part, col) as median from t)
+select dataset, part, col, count(*) as n, count(v) as known, round(max(median), 6) as median, round(avg(coalesce(v, median)), 6) as mean,
+  round(stddev_pop(coalesce(v, median)), 6) as std from m group by dataset, part, col
+""")
+def era_statistics(t):
+    """What every fit needs of every era, from one grouped aggregation."""
+    split = models.stratified_split(models.labelled(frame_of(t)))
+    return rounded(linear_fit.column_statistics(split, FEATURES), "median", "mean", "std")
+
+
+@query("era_class_weights", """
+select dataset, part, y, count(*) as n, round(sum(count(*)) over (partition by dataset, part) / (2.0::double * count(*)), 9) as weight
+from ox_parts group by dataset, part, y
+""")
+def era_class_weights(t):
+    split = models.stratified_split(models.labelled(frame_of(t)))
+    return rounded(linear_fit.class_statistics(split), digits=9)
+
+
+def optimality(rows, bundle, weights):
+    """The largest violation of the optimality condition of a fitted linear model, its gradient recomputed by Spark SQL
+    from the rows and the stored weights."""
+    *prepared, last = bundle.model.stages
+    family, theta = bundle.model_type, [*map(float, last.coefficients), float(last.intercept)]
+    for stage in prepared:
+        rows = stage.transform(rows)
+    inputs = [*[F.col(f"_x_{c}") for c in bundle.feature_cols], F.lit(1.0)]
+    side = F.when(F.col("y") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    share = F.when(F.col("y") == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+    margin = side * sum((x * F.lit(v) for x, v in zip(inputs, theta)), F.lit(0.0))
+    pull = 2 * F.greatest(F.lit(0.0), 1 - margin) if family == "svm" else 1 / (1 + F.exp(margin))
+    grads = rows.select(*[(-share * side * pull * x).alias(f"g{k}") for k, x in enumerate(inputs)]).agg(*[F.sum(f"g{k}") for k in range(len(theta))]).first()
+    most = 0.0
+    for k, (g, v) in enumerate(zip(grads, theta)):
+        g *= linear_fit.COST[family]
+        if family == "lasso":
+            most = max(most, abs(g + (1 if v > 0 else -1)) if v else abs(g) - 1)
+        else:
+            most = max(most, abs(g if k == len(theta) - 1 and family != "svm" else g + v))
+    return most
+
+
+@query("linear_optimality", f"""
+select family, dataset, count(*) as n, {len(FEATURES)} as n_features, true as optimal
+from ox_split cross join (values ('logreg'), ('ridge'), ('lasso'), ('svm')) f(family) group by family, dataset having count(distinct y) = 2
+""")
+def linear_optimality(t):
+    """Each linear family fitted to each whole era: whether the stored weights minimise their objective."""
+    split = cut(models.stratified_split(models.labelled(frame_of(t))))
+    columns, classes = linear_fit.collect_statistics(split, FEATURES)
+    sets = [linear_fit.TrainingSet(era, "all", tuple(FEATURES)) for era in eras_of(split)]
+    out = []
+    for family in ("logreg", "ridge", "lasso", "svm"):
+        for s, problem in linear_fit.fit_sets(split, sets, family, columns, classes).items():
+            model = models.linear_model(t.spark, problem, FEATURES, columns[s.era, s.part])
+            of = classes[s.era, s.part]
+            worst = optimality(split.filter(F.col("dataset") == s.era), models.Bundle(family, s.era, s.era, FEATURES, model), {y: w for y, (_, w) in of.items()})
+            out.append((family, s.era, sum(n for n, _ in of.values()), len(FEATURES), worst < 1e-4))
+    return t.spark.createDataFrame(out, "family string, dataset string, n bigint, n_features int, optimal boolean")
 
 
 @query("pairwise_experiment")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVCModel, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
 from erashift.functions.values import label_code
 from erashift.operators.evaluation import score_minmax
+from erashift.operators.linear_fit import ColumnStats, Problem, TrainingSet, collect_statistics, fit_sets
 from erashift.operators.order_stats import exact_quantiles, hash_cut, hash_order, melt
 from erashift.operators.skew import stored_small
 
@@ -116,30 +118,18 @@ def standardize(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     return fit_preprocess(train, cols, scale=True).apply(df)
 
 
-def classifier(model_type: str, n_train: int, **overrides):
-    """The estimator of a model family.
+def classifier(model_type: str, _n_train: int | None = None, **overrides):
+    """The estimator of a tree family; the linear ones are fitted by linear_fit.
 
-    A cost C of the usual formulation, with summed losses, is regParam =
-    1 / (C n) in MLlib, where losses are averaged. Known differences: the
-    intercept is never penalised, the SVM loss is hinge (not squared), trees
-    are at most 30 deep, and forest weights are per training set.
+    Trees are at most 30 deep, and forest weights are per training set.
     """
     common = {"featuresCol": "features", "labelCol": "y", **overrides}
-    if model_type in ("logreg", "ridge"):
-        return LogisticRegression(**{"regParam": 1.0 / n_train, "elasticNetParam": 0.0, "maxIter": 1000,
-                                     "standardization": False, "weightCol": "weight", **common})
-    if model_type == "lasso":
-        return LogisticRegression(**{"regParam": 1.0 / (0.5 * n_train), "elasticNetParam": 1.0, "maxIter": 1000,
-                                     "standardization": False, "weightCol": "weight", **common})
     if model_type == "rf":
         return RandomForestClassifier(**{"numTrees": 200, "maxDepth": 30, "seed": fv.SEED, "weightCol": "weight",
                                          "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024, **common})
     if model_type == "xgb":
         return GBTClassifier(**{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                                 "featureSubsetStrategy": "0.8", "seed": fv.SEED, **common})
-    if model_type == "svm":
-        return LinearSVC(**{"regParam": 1.0 / n_train, "maxIter": 2000, "tol": 1e-5, "standardization": False,
-                            "weightCol": "weight", **common})
     raise ValueError(f"unknown model type: {model_type!r}")
 
 
@@ -155,18 +145,37 @@ class Bundle:
     metrics: dict = field(default_factory=dict)
 
 
+def linear_model(spark, problem: Problem, cols: list[str], stats: ColumnStats) -> PipelineModel:
+    """A fitted linear problem as a pipeline that imputes, scales and classifies, like those of the other families."""
+    theta = [float(v) for v in problem.theta]
+    weights = _py2java(spark.sparkContext, Vectors.dense(theta[:-1]))
+    made = spark.sparkContext._jvm.org.apache.spark.ml.classification
+    if problem.family == "svm":
+        model = LinearSVCModel(made.LinearSVCModel(f"svm-{uuid.uuid4().hex[:12]}", weights, theta[-1]))
+    else:
+        model = LogisticRegressionModel(made.LogisticRegressionModel(f"{problem.family}-{uuid.uuid4().hex[:12]}", weights, theta[-1]))
+    model._resetUid(model._java_obj.uid())
+    pre = Preprocess(cols, *({c: float(part[c]) for c in cols} for part in (stats.median, stats.mean, stats.std)))
+    return PipelineModel([*pre.stages(), model.setFeaturesCol("features")])
+
+
 def fit_model(train: DataFrame, cols: list[str], model_type: str, **overrides) -> PipelineModel | None:
-    """Fit on rows with y and cols. None if the rows hold fewer than two classes."""
+    """Fit on rows with y and cols. None if the rows hold fewer than two classes. Linear families take maxIter only."""
+    if model_type in fv.LINEAR_MODELS:
+        one = TrainingSet("", "all", tuple(cols))
+        rows = train.select(F.lit("").alias("dataset"), F.lit(1).alias("is_test"), "y", *cols)
+        columns, classes = collect_statistics(rows, list(cols))
+        fitted = fit_sets(rows, [one], model_type, columns, classes, **overrides).get(one)
+        return linear_model(train.sparkSession, fitted, list(cols), columns["", "all"]) if fitted else None
     classes = {r["y"]: r for r in class_weights(train).collect()}
     if len(classes) < 2 or not cols:
         return None
-    n = sum(r["n"] for r in classes.values())
-    pre = fit_preprocess(train, cols, scale=model_type in fv.LINEAR_MODELS)
+    pre = fit_preprocess(train, cols, scale=False)
     weight = F.when(F.col("y") == 1, F.lit(classes[1]["weight"])).otherwise(F.lit(classes[0]["weight"]))
     rows = train.select(F.col("y").cast("double").alias("y"), weight.alias("weight"), *cols)
     for stage in pre.stages():
         rows = stage.transform(rows)
-    fitted = classifier(model_type, n, **overrides).fit(rows.select("y", "weight", "features"))
+    fitted = classifier(model_type, **overrides).fit(rows.select("y", "weight", "features"))
     return PipelineModel([*pre.stages(), fitted])
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
 from erashift.operators.evaluation import PAIR, accuracy, auc_exact, confusion_matrix, roc_curve
-from erashift.operators.models import Bundle, fit_model, labelled, score, stratified_split
+from erashift.operators.linear_fit import TrainingSet, collect_statistics, fit_sets, score_sets
+from erashift.operators.models import Bundle, fit_model, labelled, linear_model, score, stratified_split
 from erashift.session import cut
 
 RESULT_COLS = ["model", "train", "test", "accuracy", "auc", "n_features", "n_train", "n_test", "scope"]
@@ -77,28 +78,21 @@ class Experiment:
     results: DataFrame
 
 
-def run_pairwise_experiment(
-    df: DataFrame, contract: DataFrame, eras: list[str], model_type: str = "logreg",
-    parallelism: int = 4, **overrides,
-) -> Experiment:
-    """All pairs of one model family.
+def _linear_bundles(split: DataFrame, data: dict, used: list[str], model_type: str, **overrides) -> tuple[list[Bundle], DataFrame | None]:
+    """All fits from shared passes: as many scans as the slowest fit has steps, for any number of pairs."""
+    wanted = {(tr, te): TrainingSet(tr, "train" if tr == te else "all", tuple(d.cols)) for (tr, te), d in data.items()}
+    columns, classes = collect_statistics(split, used)
+    fitted = fit_sets(split, list(dict.fromkeys(wanted.values())), model_type, columns, classes, **overrides)
+    models = {s: linear_model(split.sparkSession, p, list(s.cols), columns[s.era, s.part]) for s, p in fitted.items()}
+    pairs = [(tr, te, s) for (tr, te), s in wanted.items() if s in fitted]
+    bundles = [Bundle(model_type, tr, te, list(s.cols), models[s]) for tr, te, s in pairs]
+    return bundles, score_sets(split, [(tr, te, s, fitted[s]) for tr, te, s in pairs], columns) if pairs else None
 
-    Pairs that train on the same rows and columns share one fit. Fits are
-    Spark jobs of their own, a few at a time; all pairs are then scored and
-    measured together. A pair whose training rows hold one class has no bundle
-    and NULL metrics.
-    """
-    spark = df.sparkSession
-    kept = kept_columns(contract)
-    pairs = [(tr, te) for tr in eras for te in eras]
-    used = sorted({c for p in pairs for c in kept.get(p, [])})
-    rows = labelled(df).select("dataset", "user_id", "y", *[c for c in used if c in df.columns])
-    split = cut(stratified_split(rows.filter(F.col("dataset").isin(eras))))
-    data = {p: pair_data(split, kept, *p) for p in pairs}
 
+def _tree_bundles(data: dict, model_type: str, parallelism: int, **overrides) -> tuple[list[Bundle], DataFrame | None]:
     groups: dict[tuple, list[tuple[str, str]]] = {}
-    for tr, te in pairs:
-        groups.setdefault((tr, tr == te, tuple(data[tr, te].cols)), []).append((tr, te))
+    for (tr, te), d in data.items():
+        groups.setdefault((tr, tr == te, tuple(d.cols)), []).append((tr, te))
 
     def fit(group):
         first = data[group[0]]
@@ -109,12 +103,37 @@ def run_pairwise_experiment(
         for group, model in pool.map(fit, groups.values()):
             if model is not None:
                 bundles += [Bundle(model_type, tr, te, data[tr, te].cols, model) for tr, te in group]
-
     scored = None
     for b in bundles:
         part = score(b.model, data[b.train, b.test].test_rows, ["user_id", "y"]).select(
             F.lit(b.train).alias("train"), F.lit(b.test).alias("test"), "*")
         scored = part if scored is None else scored.unionByName(part)
+    return bundles, scored
+
+
+def run_pairwise_experiment(
+    df: DataFrame, contract: DataFrame, eras: list[str], model_type: str = "logreg",
+    parallelism: int = 4, **overrides,
+) -> Experiment:
+    """All pairs of one model family.
+
+    Pairs that train on the same rows and columns share one fit. The linear
+    families are fitted and scored for all pairs in the same passes over the
+    data; fits of trees are Spark jobs of their own, a few at a time. A pair
+    whose training rows hold one class has no bundle and NULL metrics.
+    """
+    spark = df.sparkSession
+    kept = kept_columns(contract)
+    pairs = [(tr, te) for tr in eras for te in eras]
+    used = sorted({c for p in pairs for c in kept.get(p, [])})
+    rows = labelled(df).select("dataset", "user_id", "y", *[c for c in used if c in df.columns])
+    split = cut(stratified_split(rows.filter(F.col("dataset").isin(eras))))
+    data = {p: pair_data(split, kept, *p) for p in pairs}
+
+    if model_type in fv.LINEAR_MODELS:
+        bundles, scored = _linear_bundles(split, data, used, model_type, **overrides)
+    else:
+        bundles, scored = _tree_bundles(data, model_type, parallelism, **overrides)
 
     counts = pair_counts(split, eras).groupBy(*PAIR).agg(
         F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
