@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
+from erashift import session
 from erashift.catalog.fixtures import Tables, text
 from erashift.catalog.registry import query
 from erashift.functions import ids, text as tx, values
 from erashift.operators import cleaning, edges, profile
 from erashift.plans import releases
+from erashift.sources import records
 
 
 # --- nested release ---------------------------------------------------------
@@ -240,6 +242,53 @@ def release_tweets(t):
     return releases.release_tweets(raw, _release_users(t))
 
 
+def _as_csv(df, path, encoding="UTF-8"):
+    """Raw files of a release: every value quoted, text kept as it is."""
+    df.write.options(header=True, quoteAll=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+@query("csv_sql_scan", """
+select lang, count(*) as n, count(nullif(text, '')) as texts, sum(len(text)) as chars, count(distinct md5(nullif(text, ''))) as different,
+  sum(len(text) - len(replace(text, chr(10), ''))) as line_breaks, min(md5(nullif(text, ''))) as first_digest
+from documents group by lang
+""")
+def csv_sql_scan(t):
+    """Documents, with their line breaks inside quotes, through CSV files that SQL reads as a table."""
+    path = session.fresh_dir(t.spark, "csv-documents")
+    _as_csv(t.documents.select("doc_id", "lang", "text"), path)
+    records.csv_table(t.spark, "csv_documents", path)
+    return t.spark.sql("""
+        select lang, count(*) as n, count(text) as texts, sum(length(text)) as chars, count(distinct md5(text)) as different,
+          sum(length(text) - length(replace(text, chr(10), ''))) as line_breaks, min(md5(text)) as first_digest
+        from csv_documents group by lang""")
+
+
+_OLD_SUBSETS = list(fv.SUBSET_LABELS["cresci_2015"])
+_OLD_SUBSET_SQL = f"([{', '.join(repr(s) for s in _OLD_SUBSETS)}])[1 + c_nationkey % {len(_OLD_SUBSETS)}]"
+
+
+@query("csv_release_features", f"""
+with u as (select cast(c_custkey as varchar) as user_id, c_name as screen_name, {_OLD_SUBSET_SQL} as subset from customer),
+t as (select user_id, count(*) as n, avg(len(coalesce(text, ''))) as len, avg(case when starts_with(coalesce(text, ''), 'RT @') then 1 else 0 end) as rt,
+  avg(len(regexp_extract_all(coalesce(text, ''), '#[A-Za-z0-9_]+'))) as tags from fx_tweets where user_id in (select user_id from u) group by user_id)
+select u.user_id, subset, case when subset in ('TFP', 'TWT') then 'human' else 'bot' end as label, coalesce(n, 0) as tweet_count_actual,
+  case when n is null then 0 else 1 end as has_tweet_data, round(len, 6) as avg_text_length, round(rt, 6) as retweet_ratio, round(tags, 6) as avg_hashtags
+from u left join t using (user_id)
+""")
+def csv_release_features(t):
+    """From the raw folders of a release, users and Latin-1 tweets per subset, to its Round 1 features, in one call."""
+    folder = session.fresh_dir(t.spark, "csv-release")
+    subset = F.get(F.array(*[F.lit(s) for s in _OLD_SUBSETS]), F.col("c_nationkey") % len(_OLD_SUBSETS))
+    users = t.customer.select(text(F.col("c_custkey")).alias("id"), F.col("c_name").alias("screen_name"), subset.alias("subset"))
+    tweets = t.fx_tweets.join(users.select(F.col("id").alias("user_id"), "subset"), "user_id").withColumnRenamed("tweet_id", "id")
+    for s in _OLD_SUBSETS:
+        _as_csv(users.filter(F.col("subset") == s).drop("subset"), f"{folder}/{s}.csv/users.csv")
+        _as_csv(tweets.filter(F.col("subset") == s).select("id", "user_id", "text", "in_reply_to_user_id"), f"{folder}/{s}.csv/tweets.csv", "ISO-8859-1")
+    frame = releases.csv_release_features(t.spark, folder, "cresci_2015", "2020-09-01")
+    rounded = [F.round(c, 6).alias(c) for c in ("avg_text_length", "retweet_ratio", "avg_hashtags")]
+    return frame.select("user_id", "subset", "label", "tweet_count_actual", "has_tweet_data", *rounded)
+
+
 @query("long_suffix_timestamps", """
 select event_id, case when event_id % 2 = 0
   then concat(strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S'),

@@ -9,6 +9,7 @@ from erashift import fixed_values as fv
 from erashift.functions import values
 from erashift.functions.ids import canonical_id
 from erashift.operators.cleaning import drop_float_ids, keep_columns, normalise_tweets
+from erashift.plans.features import round1_features
 from erashift.sources import readers
 
 
@@ -40,3 +41,9 @@ def read_csv_release(spark: SparkSession, folder: str, era: str) -> tuple[DataFr
     users = release_users(readers.read_subset_csv(spark, folder, subsets, "users.csv", suffix=suffix), era)
     tweets = readers.read_subset_csv(spark, folder, told, "tweets.csv", "ISO-8859-1", suffix)
     return users, release_tweets(tweets, users)
+
+
+def csv_release_features(spark: SparkSession, folder: str, era: str, reference_date: str) -> DataFrame:
+    """From a release's CSV folders to its Round 1 features."""
+    users, tweets = read_csv_release(spark, folder, era)
+    return round1_features(users, tweets, reference_date, dataset=era)

@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from erashift import schemas
-
-
-def _csv(spark: SparkSession, encoding: str = "UTF-8"):
-    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
+from erashift.sources.records import read_csv_split, read_json_array_split
 
 
 def read_text_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV under its own header, every column as text."""
-    return _csv(spark, encoding).option("inferSchema", False).csv(path)
+    """A CSV under its own header, every column as text; one file is shared by several tasks."""
+    return read_csv_split(spark, path, encoding)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -58,21 +55,25 @@ def read_subset_csv(
 def read_nested_records(
     spark: SparkSession, folder: str, splits: list[str] | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """<folder>/<split>.json; `subset` is the split. A JSON array is one task per
-    file; JSON lines (multi_line=False) are split over tasks."""
+    """<folder>/<split>.json; `subset` is the split. Arrays (multi_line) and JSON lines are both shared by several
+    tasks per file."""
     paths = [f"{folder}/{s}.json" for s in splits] if splits else f"{folder}/*.json"
-    raw = spark.read.schema(schemas.NESTED_RECORD).option("multiLine", multi_line).json(paths)
-    return raw.withColumn("subset", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    if multi_line:
+        raw = read_json_array_split(spark, paths, schemas.NESTED_RECORD).withColumnRenamed("_file_name", "_name")
+    else:
+        raw = spark.read.schema(schemas.NESTED_RECORD).json(paths).withColumn("_name", F.col("_metadata.file_name"))
+    return raw.withColumn("subset", F.regexp_extract("_name", r"^(.*)\.json$", 1)).drop("_name")
 
 
 def read_v2_users(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.V2_USER).option("multiLine", True).json(path)
+    return read_json_array_split(spark, path, schemas.V2_USER).drop("_file_name")
 
 
 def read_v2_tweets(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """Tweet shards. JSON-lines shards (multi_line=False) are split over tasks;
-    a JSON array is one task per file."""
-    return spark.read.schema(schemas.V2_TWEET).option("multiLine", multi_line).json(path)
+    """Tweet shards: JSON arrays (multi_line) or JSON lines, both shared by several tasks per file."""
+    if multi_line:
+        return read_json_array_split(spark, path, schemas.V2_TWEET).drop("_file_name")
+    return spark.read.schema(schemas.V2_TWEET).json(path)
 
 
 def read_pairs_csv(spark: SparkSession, path: str, second: str) -> DataFrame:
