@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from erashift.operators.skew import HOT_ROWS, is_bounded, stored_small
 
-ACCURACY = 10_000
+SKETCH_K = 2_000  # of a quantile sketch: ranks within about 0.15 %
+MARGIN = 0.005    # of ranks, on each side of a position
+STEPS = 400       # ranks a sketch is asked for
 BUCKETS = 256
 _PREFIX = 4  # hex digits: 65 536 hash ranges
 
@@ -21,65 +23,87 @@ def melt(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float], hot_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles: rows (keys, col, prob, value).
 
-    One pass brackets each quantile with percentile_approx, whose rank error
-    is bounded. The second pass counts what lies below and above the bracket
-    and keeps single values only inside it, about 4/ACCURACY of the rows, so
-    the final ordering is small even for a group that holds most of the table.
+    Every wanted position of every group has an open interval of values it lies in, with the number of rows below and
+    inside. Intervals with more than hot_rows rows are narrowed: a mergeable sketch of the rows inside proposes a
+    smaller interval, an exact count judges it (a sketch only errs with some probability; then the next one is wider),
+    and a position that turns out to be one of the interval's ends is found. What is left to be ordered in one task is
+    at most hot_rows values, however large a group is.
     """
+    hot_rows = hot_rows or HOT_ROWS
     tall = melt(df, keys, cols).filter("value is not null")
-    margin = 2.0 / ACCURACY
-    points = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     group = [*keys, "col"]
-    cuts = tall.groupBy(*group).agg(
-        F.percentile_approx("value", points, ACCURACY).alias("_cuts")
-    )
-    k = len(probs)
-    brackets = stored_small(
-        cuts.select(*group, F.explode(F.array(*[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.col("_cuts")[i].alias("lo"),
-                F.col("_cuts")[k + i].alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ])).alias("b")).select(*group, "b.*")
-    )
-    side = F.when(F.col("value") < F.col("lo"), 0).when(F.col("value") > F.col("hi"), 2).otherwise(1)
-    group = [*group, "prob"]
-    runs = (
-        tall.join(brackets, [*keys, "col"])
-        .withColumn("side", side)
-        .groupBy(*group, "side", F.when(F.col("side") == 1, F.col("value")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
-    ordered = Window.partitionBy(*group).orderBy("side", "v")
-    runs = (
-        runs.withColumn("after", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("before", F.col("after") - F.col("n"))
-        .withColumn("at", F.col("prob") * (F.sum("n").over(Window.partitionBy(*group)) - 1))
-    )
-
-    def value_at(position: Column) -> Column:
-        here = (F.col("before") <= position) & (position < F.col("after"))
-        exact = (
-            F.when(F.col("side") == 1, F.col("v"))
-            .when((F.col("side") == 0) & (position == F.col("after") - 1), F.col("high"))
-            .when((F.col("side") == 2) & (position == F.col("before")), F.col("low"))
-            .otherwise(F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
-        )
-        return F.max(F.when(here, exact))
-
-    return (
-        runs.groupBy(*group)
-        .agg(
-            value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"),
-            F.max(F.col("at") - F.floor("at")).alias("f"),
-        )
-        .select(*group, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
-    )
+    sizes = tall.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    at = F.col("prob") * (F.col("n") - 1)
+    wanted = stored_small(sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
+        *group, "n", "prob", F.floor(at).alias("a"), F.ceil(at).alias("b"), (at - F.floor(at)).alias("f")))
+    edge = F.lit(None).cast("double")
+    places = wanted.select(*group, "n", F.explode(F.array("a", "b")).alias("at")).distinct().select(
+        *group, "at", edge.alias("lo"), edge.alias("hi"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"),
+        F.lit(MARGIN).alias("margin"), edge.alias("value"))
+    places = stored_small(places)
+    while not places.filter(_wide(hot_rows)).isEmpty():
+        places = stored_small(_narrowed(tall, places, group, hot_rows))
+    place = [*group, "at"]
+    within = Window.partitionBy(*place).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = _inside(tall, places.filter("value is null"), group).groupBy(*place, "below", F.col("_x").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("after", F.col("below") + F.sum("n").over(within))
+    found = ordered.filter("at < after and at >= after - n").select(*place, F.col("v").alias("value")).unionByName(
+        places.filter("value is not null").select(*place, "value"))
+    low, high = (found.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("at").alias(out), F.col("value").alias(f"v{out}")) for out in ("a", "b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    names = [f"_{c}" for c in group]
+    both = wanted.withColumnRenamed("a", "_a").join(low, [*same, F.col("_a") == F.col("a")]).drop(*names, "a")
+    both = both.withColumnRenamed("b", "_b").join(high, [*same, F.col("_b") == F.col("b")]).drop(*names, "b")
+    return both.select(*group, "prob", (F.col("va") + (F.col("vb") - F.col("va")) * F.col("f")).alias("value"))
+
+
+def _wide(hot_rows: int) -> Column:
+    return F.col("value").isNull() & (F.col("inside") > hot_rows)
+
+
+def _inside(tall: DataFrame, places: DataFrame, group: list[str]) -> DataFrame:
+    """The rows inside each place's interval, the row's value being _x."""
+    rows = tall.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("value").alias("_x"))
+    open_ = (F.col("lo").isNull() | (F.col("_x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("_x") < F.col("hi")))
+    return rows.join(places, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in group]).filter(open_).drop(*[f"_{c}" for c in group])
+
+
+def _narrowed(tall: DataFrame, places: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
+    """The places after one round: two passes over the rows, whatever the number of groups."""
+    place = [*group, "at"]
+    kept = [*place, "lo", "hi", "below", "inside", "margin"]
+    wide = places.filter(_wide(hot_rows)).select(*kept)
+    rank = (F.col("at") - F.col("below") + 0.5) / F.col("inside")
+
+    def cut_point(step: Column) -> Column:  # a sketch is asked for fixed ranks only
+        return F.element_at("ladder", F.least(F.greatest(step, F.lit(0)), F.lit(STEPS)).cast("int") + 1)
+
+    sketched = _inside(tall, wide, group).groupBy(*kept).agg(F.kll_sketch_agg_double("_x", SKETCH_K).alias("sketch"))
+    ranks = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    sketched = sketched.select(*kept, F.kll_sketch_get_quantile_double("sketch", ranks).alias("ladder"))
+    tried = stored_small(sketched.select(*kept, cut_point(F.floor((rank - F.col("margin")) * STEPS)).alias("from"),
+                                         cut_point(F.ceil((rank + F.col("margin")) * STEPS)).alias("to")))
+    x = F.col("_x")
+    counted = _inside(tall, tried, group).groupBy(*kept, "from", "to").agg(
+        F.count_if(x < F.col("from")).alias("less"), F.count_if(x == F.col("from")).alias("at_from"),
+        F.count_if((x > F.col("from")) & (x < F.col("to"))).alias("between"),
+        F.count_if((x == F.col("to")) & (F.col("to") > F.col("from"))).alias("at_to"))
+    start = F.col("below") + F.col("less")
+    first, last = start + F.col("at_from"), start + F.col("at_from") + F.col("between")
+    here = (F.col("at") >= first) & (F.col("at") < last)
+    value = F.when((F.col("at") >= start) & (F.col("at") < first), F.col("from")).when(
+        (F.col("at") >= last) & (F.col("at") < last + F.col("at_to")), F.col("to"))
+
+    def taken(new: Column, old: str) -> Column:
+        return F.when(here, new).otherwise(F.col(old))
+
+    done = counted.select(
+        *place, taken(F.col("from"), "lo").alias("lo"), taken(F.col("to"), "hi").alias("hi"), taken(first, "below").alias("below"),
+        taken(F.col("between"), "inside").alias("inside"), F.when(here, F.lit(MARGIN)).otherwise(F.col("margin") * 4).alias("margin"), value.alias("value"))
+    return done.unionByName(places.filter(~_wide(hot_rows)).select(*done.columns))
 
 
 def hash_order(seed, *cols: Column) -> Column:

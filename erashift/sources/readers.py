@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from erashift import schemas
-from erashift.sources.records import read_csv_split, read_json_array_split
+from erashift.sources.records import csv_columns, read_csv_split, read_json_array_split
 
 
 def read_text_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
@@ -42,13 +43,19 @@ def read_subset_csv(
     encoding: str = "UTF-8", suffix: str = "",
 ) -> DataFrame:
     """<folder>/<subset><suffix>/<file> for each subset, tagged with subset and,
-    where subsets carry labels, with label."""
-    parts = []
+    where subsets carry labels, with label. Subsets with the same header are read together."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for subset in subsets:
-        df = read_text_csv(spark, f"{folder}/{subset}{suffix}/{file}", encoding)
+        path = f"{folder}/{subset}{suffix}/{file}"
+        by_header.setdefault(tuple(csv_columns(spark, path, encoding)), []).append(path)
+    home = F.regexp_extract("_file", rf"/([^/]+){re.escape(suffix)}/{re.escape(file)}(?:/[^/]*)?$", 1)
+    parts = []
+    for header, paths in by_header.items():
+        df = read_csv_split(spark, paths, encoding, list(header), "_file").withColumn("subset", home).drop("_file")
         if isinstance(subsets, dict):
-            df = df.withColumn("label", F.lit(subsets[subset]))
-        parts.append(df.withColumn("subset", F.lit(subset)))
+            names = F.create_map(*[F.lit(x) for pair in subsets.items() for x in pair])
+            df = df.withColumn("label", F.try_element_at(names, F.col("subset")))
+        parts.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

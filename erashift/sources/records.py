@@ -61,18 +61,25 @@ def csv_records(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame
     return _records(counted, (F.col("quotes_before") + F.col("quotes")) % 2 == 0, "\n").withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
-def read_csv_split(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def csv_columns(spark: SparkSession, path, encoding: str = "UTF-8") -> list[str]:
+    """The header of a CSV file; only its first lines are read."""
+    return spark.read.options(header=True, inferSchema=False, encoding=encoding, **_CSV).csv(path).columns
+
+
+def read_csv_split(spark: SparkSession, path, encoding: str = "UTF-8", columns: list[str] | None = None, file_col: str | None = None) -> DataFrame:
     """A CSV file, or files of one header, every column as text; equal rows for every block size.
 
     As with Spark's own multi-line reader, quotes inside a field are doubled, blank lines are no records, and an empty
-    field is NULL, quoted or not.
+    field is NULL, quoted or not. columns saves reading the header; file_col adds the path of the file.
     """
-    options = {"quote": '"', "escape": '"', "multiLine": "true"}
-    columns = spark.read.options(header=True, inferSchema=False, encoding=encoding, **options).csv(path).columns
+    columns = columns or csv_columns(spark, path, encoding)
     fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(columns))])
     rows = csv_records(spark, path, encoding).where((F.col("record") > 0) & (F.trim("text") != ""))
-    parsed = rows.select(F.from_csv("text", fields.simpleString()[7:-1].replace(":", " "), options).alias("r"))
-    return parsed.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(columns)])
+    parsed = rows.select("file", F.from_csv("text", fields.simpleString()[7:-1].replace(":", " "), _CSV).alias("r"))
+    return parsed.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(columns)], *([F.col("file").alias(file_col)] if file_col else []))
 
 
 def json_array_records(spark: SparkSession, path) -> DataFrame:

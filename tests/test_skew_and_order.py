@@ -61,11 +61,22 @@ def test_quantiles_are_exact(spark, n):
             assert got[g, p] == pytest.approx(np.quantile(vs, p), abs=1e-12)
 
 
-def test_quantile_bracket_is_narrow_and_exact_on_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(order_stats, "ACCURACY", 100)
-    df = spark.range(0, 20001).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 20001).cast("double").alias("x"))
-    got = order_stats.exact_quantiles(df, ["g"], ["x"], [0.5, 0.9]).collect()
-    assert {r["prob"]: r["value"] for r in got} == {0.5: 10000.0, 0.9: 18000.0}
+@pytest.mark.parametrize("k", [8, 2000])
+def test_quantiles_order_no_more_than_hot_rows(spark, monkeypatch, k):
+    """Also with a sketch so coarse that its proposals often miss."""
+    monkeypatch.setattr(order_stats, "SKETCH_K", k)
+    rng = np.random.default_rng(3)
+    data = {"even": (np.arange(20001) * 7919) % 20001, "ties": np.where(rng.random(6000) < 0.4, 7, rng.integers(0, 4000, 6000)),
+            "two": np.array([1.0] * 2500 + [2.0] * 2501), "few": np.array([3.0, 1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [(None, 5.0)] * 300, "g string, x double").cache()
+    last, plain = [], order_stats._inside
+    monkeypatch.setattr(order_stats, "_inside", lambda tall, places, group: last.append(plain(tall, places, group)) or last[-1])
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    got = {(r["g"], r["prob"]): r["value"] for r in order_stats.exact_quantiles(df, ["g"], ["x"], probs, hot_rows=40).collect()}
+    for g, vs in data.items():
+        assert [got[g, p] for p in probs] == pytest.approx([np.quantile(vs, p) for p in probs], abs=1e-9)
+    assert all(got[None, p] == 5.0 for p in probs)
+    assert last[-1].groupBy("g", "at").count().agg(F.max("count")).first()[0] <= 40
 
 
 def test_hash_sample_is_exact_and_repeatable(spark):
