@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
-from erashift.operators.order_stats import bucket_by_value
+from erashift.operators.order_stats import FAN_OUT, tree_prefix_sums, value_ranges
 from erashift.operators.skew import lookup_join
 from erashift.session import cut
 
@@ -30,62 +30,61 @@ def _prediction(threshold: float | None) -> Column:
     return F.col("pred") if threshold is None else (F.col("score") >= threshold).cast("int")
 
 
-def _runs(scored: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
-    """Positives and negatives per key and distinct score, with a score bucket."""
+def _runs(scored: DataFrame, keys: list[str], hot_rows: int | None, fan_out: int) -> DataFrame:
+    """Positives and negatives per key and distinct score, with the path of the score's range."""
     valid = scored.filter("y is not null and score is not null").withColumn("score", F.col("score").cast("double"))
-    return bucket_by_value(valid, "score", hot_rows=hot_rows).groupBy(*keys, "bucket", "score").agg(
+    return value_ranges(valid, "score", hot_rows, fan_out).groupBy(*keys, "path", "score").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
-def auc_exact(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None) -> DataFrame:
+def _with_starts(rows: DataFrame, totals: DataFrame, keys: list[str], values: list[str], descending: bool = False) -> DataFrame:
+    """rows with what lies before their range, as start_<value>."""
+    starts = tree_prefix_sums(totals, keys, values, descending).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("path").alias("_path"), *[F.col(v).alias(f"start_{v}") for v in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "path"]]
+    return rows.join(starts, same).drop(*[f"_{k}" for k in [*keys, "path"]])
+
+
+def auc_exact(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None, fan_out: int = FAN_OUT) -> DataFrame:
     """ROC AUC with ties counted half; NULL if a class is missing.
 
     AUC = sum over scores of pos * (negatives below + neg / 2) / (P * N).
-    Negatives below come from the same bucket (a window over one bucket) and
-    from earlier buckets (a window over the few bucket totals).
+    Negatives below come from the same range of scores (a window over one
+    range) and from the tree of earlier ranges.
     """
-    inside = Window.partitionBy(*keys, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "path").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    per_bucket = (
-        _runs(scored, keys, hot_rows).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-        .groupBy(*keys, "bucket").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    per_range = cut(
+        _runs(scored, keys, hot_rows, fan_out).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+        .groupBy(*keys, "path").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
     return (
-        per_bucket.withColumn("won", F.col("won") + F.col("pos") * carried)
+        _with_starts(per_range, per_range, keys, ["neg"])
         .groupBy(*keys).agg(
-            F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+            F.sum(F.col("won") + F.col("pos") * F.col("start_neg")).alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
         .select(*keys, "n_pos", "n_neg",
                 F.try_divide("won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
     )
 
 
-def roc_curve(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame, keys: list[str] = PAIR, hot_rows: int | None = None, fan_out: int = FAN_OUT) -> DataFrame:
     """fpr and tpr at every distinct score, from the highest down, plus the
     origin as a row with a NULL threshold."""
-    runs = _runs(scored, keys, hot_rows)
-    totals = runs.groupBy(*keys, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    higher = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    totals = totals.select(
-        *keys, "bucket",
-        F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("p0"),
-        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n0"),
-        F.sum("p").over(whole).alias("p_all"), F.sum("n").over(whole).alias("n_all"),
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = cut(_runs(scored, keys, hot_rows, fan_out))
+    per_range = runs.groupBy(*keys, "path").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = runs.groupBy(*keys).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
+    inside = Window.partitionBy(*keys, "path").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = runs.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
     points = (
-        runs.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
-        .join(totals, [*keys, "bucket"])
+        _with_starts(counted, per_range, keys, ["pos", "neg"], descending=True)
+        .join(sums, keys)
         .select(
             *keys, F.col("score").alias("threshold"),
-            F.try_divide(F.col("fp") + F.col("n0"), F.col("n_all")).alias("fpr"),
-            F.try_divide(F.col("tp") + F.col("p0"), F.col("p_all")).alias("tpr"),
+            F.try_divide(F.col("fp") + F.col("start_neg"), F.col("n_all")).alias("fpr"),
+            F.try_divide(F.col("tp") + F.col("start_pos"), F.col("p_all")).alias("tpr"),
         )
     )
-    origin = totals.select(*keys).distinct().select(
-        *keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = sums.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 

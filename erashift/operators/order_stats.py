@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from erashift.operators.skew import HOT_ROWS, is_bounded, stored_small
+from erashift.operators.skew import HOT_ROWS, stored_small
+from erashift.session import cut
 
 SKETCH_K = 2_000  # of a quantile sketch: ranks within about 0.15 %
 MARGIN = 0.005    # of ranks, on each side of a position
 STEPS = 400       # ranks a sketch is asked for
-BUCKETS = 256
+FAN_OUT, PATH_DIGITS = 256, 3  # parts of a split range, digits of a part's number
 _PREFIX = 4  # hex digits: 65 536 hash ranges
 
 
@@ -164,19 +164,49 @@ def dense_ids(nodes: DataFrame) -> DataFrame:
     )
 
 
-def bucket_by_value(df: DataFrame, col: str, buckets: int = BUCKETS, hot_rows: int | None = None) -> DataFrame:
-    """Add `bucket`, ordered ranges of col with roughly equal row counts (one
-    range if one task can order all rows).
+def value_ranges(df: DataFrame, col: str, hot_rows: int | None = None, fan_out: int = FAN_OUT) -> DataFrame:
+    """Add `path`, text whose order is that of col's ranges; no range holds more than hot_rows rows of different values.
 
-    Cut points are approximate; equal values always share a bucket, so results
-    built on top are exact.
+    Ranges that are too large are split by a quantile sketch of their rows, those parts again where they need it, and
+    so on: as many levels as the number of rows asks for, with at most 2 * fan_out + 1 parts each. Equal values always
+    share a range, so results built on top are exact whatever the sketches say.
     """
-    if is_bounded(df, hot_rows or HOT_ROWS):
-        return df.withColumn("bucket", F.lit(0.0))
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(col, probs, 1.0 / (4 * buckets))
-    cuts = sorted({c for c in found if abs(c) != float("inf")})
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) == 2:
-        return df.withColumn("bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=col, outputCol="bucket").transform(df)
+    hot_rows = hot_rows or HOT_ROWS
+    ranks = F.array(*[F.lit(k / (fan_out - 1)) for k in range(fan_out)])
+    out = df.withColumn("path", F.lit(""))
+    depth = 0
+    while True:
+        sizes = out.filter(F.length("path") == PATH_DIGITS * depth).groupBy("path").agg(
+            F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.kll_sketch_agg_double(col, SKETCH_K).alias("sketch"))
+        wide = stored_small(sizes.filter((F.col("n") > hot_rows) & (F.col("lo") < F.col("hi"))).select(
+            F.col("path").alias("_path"), F.kll_sketch_get_quantile_double("sketch", ranks).alias("_cuts")))
+        if wide.isEmpty():
+            return out
+        out = out.join(wide, F.col("path") == F.col("_path"), "left")
+        # a cut point is a part of its own, so a value that fills much of a range leaves it at once
+        before, upto = (F.size(F.filter("_cuts", keep)) for keep in (lambda c: c < F.col(col), lambda c: c <= F.col(col)))
+        part = F.lpad((before + upto).cast("string"), PATH_DIGITS, "0")
+        out = cut(out.withColumn("path", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", part))).drop("_path", "_cuts"))
+        depth += 1
+
+
+def tree_prefix_sums(totals: DataFrame, keys: list[str], values: list[str], descending: bool = False) -> DataFrame:
+    """(keys, path, values): for every range the sums of the ranges before it (after it, if descending).
+
+    Going up, the totals of a node are those of its parts; going down, a node starts where its parent starts plus what
+    its earlier siblings hold. A window sees the parts of one node only.
+    """
+    deepest = totals.agg(F.max(F.length("path")).alias("d")).first()["d"] or 0
+    out = totals.select(*keys, "path", *[F.lit(0).cast("bigint").alias(v) for v in values])
+    for length in range(PATH_DIGITS, deepest + 1, PATH_DIGITS):
+        node, parent = F.substring("path", 1, length), F.substring("path", 1, length - PATH_DIGITS)
+        nodes = totals.filter(F.length("path") >= length).groupBy(*keys, node.alias("node"), parent.alias("parent")).agg(
+            *[F.sum(v).alias(v) for v in values])
+        order = F.desc("node") if descending else F.asc("node")
+        earlier = Window.partitionBy(*keys, "parent").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        starts = nodes.select(*[F.col(k).alias(f"_{k}") for k in keys], "node",
+                              *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        joined = out.join(starts, [*same, node == F.col("node")], "left")
+        out = joined.select(*keys, "path", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values])
+    return out

@@ -117,6 +117,26 @@ def test_auc_and_roc_over_buckets(spark, hot_rows):
     assert area == pytest.approx(got["a"], abs=1e-12) and points[0] == (0.0, 0.0) and points[-1] == (1.0, 1.0)
 
 
+def test_ranges_are_small_and_sums_run_through_three_levels(spark):
+    rng = random.Random(6)
+    data = [(g, rng.choice([0.5, rng.random(), rng.random()]), rng.randrange(2)) for g in ("a", "b") for _ in range(600)]
+    df = spark.createDataFrame(data, "train string, score double, y int").cache()
+    paths = order_stats.value_ranges(df, "score", hot_rows=30, fan_out=4).cache()
+    assert paths.agg(F.max(F.length("path"))).first()[0] >= 3 * order_stats.PATH_DIGITS
+    assert paths.groupBy("path").agg(F.count_distinct("score").alias("n"), F.count("*").alias("rows")).filter("rows > 30 and n > 1").count() == 0
+    spans = sorted((r["path"], r["lo"], r["hi"]) for r in paths.groupBy("path").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect())
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    totals = paths.groupBy("train", "path").agg(F.sum("y").alias("v"))
+    for descending in (False, True):
+        got = {(r["train"], r["path"]): r["v"] for r in order_stats.tree_prefix_sums(totals, ["train"], ["v"], descending).collect()}
+        known = {(r["train"], r["path"]): r["v"] for r in totals.collect()}
+        assert got == {(g, p): sum(v for (h, q), v in known.items() if h == g and (q > p if descending else q < p)) for g, p in known}
+    got = {r["train"]: r["auc"] for r in auc_exact(df, ["train"], 30, 4).collect()}
+    want = {g: brute_auc([(y, s) for e, s, y in data if e == g]) for g in ("a", "b")}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert {tuple(r) for r in roc_curve(df, ["train"], 30, 4).collect()} == {tuple(r) for r in roc_curve(df, ["train"]).collect()}
+
+
 def test_auc_edge_cases(spark):
     data = [("equal", 1, 0.3), ("equal", 0, 0.3), ("perfect", 1, 0.9), ("perfect", 0, 0.1), ("one", 1, 0.5), ("one", None, 0.5)]
     got = auc_exact(spark.createDataFrame(data, "train string, y int, score double"), ["train"]).collect()
