@@ -223,9 +223,12 @@ def fit_sets(split: DataFrame, sets: list[TrainingSet], family: str, columns: di
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
                                                  names=["k", "v"])
 
-        sums = rows.mapInArrow(add_up, "k int, v array<double>").select("k", F.posexplode("v").alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v"))
-        merged = sums.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("v")).select("k", F.col("v.v").alias("v"))
-        found = {r["k"]: np.array(r["v"]) for r in merged.collect()}  # one small matrix per set
+        parts = rows.mapInArrow(add_up, "k int, v array<double>").select("k", F.posexplode("v").alias("at", "v"))
+        sums = parts.groupBy("k", "at").agg(F.sum("v").alias("v")).toArrow()  # one small matrix per set
+        found = {k: np.empty((len(s.cols) + 1) * (len(s.cols) + 2) + 1) for k, s in waiting}
+        key, place, value = (sums[c].to_numpy() for c in ("k", "at", "v"))
+        for k in found:
+            found[k][place[key == k]] = value[key == k]
         for k, s in waiting:
             d, v = len(s.cols) + 1, found[k]
             problems[s].judge(float(v[0]), v[1:d + 1], v[d + 1:].reshape(d, d))

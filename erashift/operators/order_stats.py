@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from erashift.operators.skew import HOT_ROWS, stored_small
+from erashift.operators.skew import HOT_ROWS, MAX_BROADCAST_ROWS, stored_small
 from erashift.session import cut
 
 SKETCH_K = 2_000  # of a quantile sketch: ranks within about 0.15 %
@@ -35,16 +35,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list
     hot_rows = hot_rows or HOT_ROWS
     tall = melt(df, keys, cols).filter("value is not null")
     group = [*keys, "col"]
-    sizes = tall.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(tall.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    n_groups, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    sized = F.broadcast if n_groups <= MAX_BROADCAST_ROWS else (lambda table: table)
     at = F.col("prob") * (F.col("n") - 1)
-    wanted = stored_small(sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
-        *group, "n", "prob", F.floor(at).alias("a"), F.ceil(at).alias("b"), (at - F.floor(at)).alias("f")))
+    wanted = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
+        *group, "n", "prob", F.floor(at).alias("a"), F.ceil(at).alias("b"), (at - F.floor(at)).alias("f"))
     edge = F.lit(None).cast("double")
-    places = wanted.select(*group, "n", F.explode(F.array("a", "b")).alias("at")).distinct().select(
+    places = sized(wanted.select(*group, "n", F.explode(F.array("a", "b")).alias("at")).distinct().select(
         *group, "at", edge.alias("lo"), edge.alias("hi"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"),
-        F.lit(MARGIN).alias("margin"), edge.alias("value"))
-    places = stored_small(places)
-    while not places.filter(_wide(hot_rows)).isEmpty():
+        F.lit(MARGIN).alias("margin"), edge.alias("value")))
+    while (largest or 0) > hot_rows and not places.filter(_wide(hot_rows)).isEmpty():
         places = stored_small(_narrowed(tall, places, group, hot_rows))
     place = [*group, "at"]
     within = Window.partitionBy(*place).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
