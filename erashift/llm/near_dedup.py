@@ -67,7 +67,7 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc long, n long, set_a long, set_b long, bands array<long>, signature binary"
+_SIGNED = "doc long, body long, n long, set_a long, set_b long, bands array<long>, signature binary"
 
 
 def _sign(k: int, bands: int, rows: int):
@@ -76,20 +76,20 @@ def _sign(k: int, bands: int, rows: int):
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, body, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = shingle_set(text, k)
                 if not len(s):
-                    out.append((doc, 0, 0, 0, None, None))
+                    out.append((doc, body, 0, 0, 0, None, None))
                     continue
                 m = minima(s, a, b)
                 key = salt.copy()
                 for part in m.reshape(bands, rows).T:
                     key = mix(key + part.astype(np.uint64))
-                out.append((doc, len(s), *_set_hash(s), key.view(np.int64).tolist(), m.astype(np.uint8).tobytes()))
-            cols = list(zip(*out)) or [()] * 6
+                out.append((doc, body, len(s), *_set_hash(s), key.view(np.int64).tolist(), m.astype(np.uint8).tobytes()))
+            cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
-                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))],
-                names=["doc", "n", "set_a", "set_b", "bands", "signature"])
+                *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()))],
+                names=["doc", "body", "n", "set_a", "set_b", "bands", "signature"])
 
     return run
 
@@ -118,10 +118,10 @@ def _full_sets(k: int):
     def run(batches):
         for b in batches:
             node, data, sketch = [], [], []
-            for doc, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for key, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
                 s = shingle_set(text, k)
                 if _set_hash(s) == (one, two):
-                    node.append(doc)
+                    node.append(key)
                     data.append(s.tobytes())
                     sketch.append(parity_sketch(s).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
@@ -173,12 +173,18 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold_pct:
 
 
 def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
-    """(doc, n, component) for every row of (doc, text)."""
+    """(doc, body, n, component) for every row of (doc, text).
+
+    body is a hash of the text: rows that share an id are told apart by it. component
+    is the smallest (doc, body) reachable. Classes are known by a hash of their set,
+    whatever ids their rows have.
+    """
     bands, rows = shape(threshold_pct)
+    docs = docs.select("doc", F.xxhash64("text").alias("body"), "text")
     signed = stored(docs.mapInArrow(_sign(k, bands, rows), _SIGNED), "signed")
     same = ["n", "set_a", "set_b"]
-    classes = stored(signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "bands", "signature")).alias("c")).select(
-        F.col("c.doc").alias("node"), *same, "c.bands", "c.signature"), "classes")
+    classes = stored(signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "body", "bands", "signature")).alias("c")).select(
+        F.xxhash64(*same).alias("node"), *same, F.struct("c.doc", "c.body").alias("first"), "c.bands", "c.signature"), "classes")
 
     slots = classes.select("node", "n", F.explode("bands").alias("key"))
     full = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "_key")
@@ -189,14 +195,14 @@ def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
     def sized(df, n):
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-    wanted = classes.select(F.col("node"), "set_a", "set_b").join(sized(members, n_members), F.col("node") == F.col("_node"), "left_semi")
+    wanted = classes.select("node", "set_a", "set_b", F.col("first.doc").alias("_doc"), F.col("first.body").alias("_body")).join(sized(members, n_members), F.col("node") == F.col("_node"), "left_semi")
     wanted = sized(wanted, n_members)
-    sets = stored(docs.join(wanted, F.col("doc") == F.col("node")).select("doc", "text", "set_a", "set_b").mapInArrow(
+    sets = stored(docs.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("body") == F.col("_body"))).select("node", "text", "set_a", "set_b").mapInArrow(
         _full_sets(k), "node long, set binary, sketch array<long>").dropDuplicates(["node"]), "sets")
     fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * threshold_pct
 
     ranked = buckets.join(sized(members, n_members), F.col("node") == F.col("_node")).select("key", "node", "n", "central")
-    pivots = ranked.groupBy(F.col("key").alias("key2")).agg(F.max(F.struct("central", -F.col("node"), "node", "n")).alias("p")).select(
+    pivots = ranked.groupBy(F.col("key").alias("key2")).agg(F.min(F.struct(-F.col("central"), "node", "n")).alias("p")).select(
         "key2", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"))
     stars = buckets.join(pivots, (F.col("key") == F.col("key2")) & (F.col("node") != F.col("node2")) & fits).select(
         F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
@@ -225,10 +231,14 @@ def _keyed_components(docs: DataFrame, k: int, threshold_pct: int) -> DataFrame:
     if not more.isEmpty():
         labels = components(labels.unionByName(more))
 
-    placed = classes.join(labels, F.col("node") == F.col("u"), "left").select(
-        *[F.col(c).alias("_" + c) for c in same], label.alias("component"))
-    found = signed.select("doc", *same).join(placed, [F.col(c) == F.col("_" + c) for c in same], "left")
-    return found.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    linked = labels.unionByName(labels.select(F.col("v").alias("u"), "v").distinct()).distinct()
+    linked = linked.join(classes.select("node", "first"), F.col("u") == F.col("node")).select("u", "v", "first")
+    least = linked.groupBy(F.col("v").alias("_v")).agg(F.min("first").alias("least"))
+    named = linked.join(least, F.col("v") == F.col("_v")).select("u", "least")
+    placed = classes.join(named, F.col("node") == F.col("u"), "left").select(
+        *[F.col(c).alias("_" + c) for c in same], F.coalesce("least", "first").alias("component"))
+    found = signed.select("doc", "body", *same).join(placed, [F.col(c) == F.col("_" + c) for c in same], "left")
+    return found.select("doc", "body", "n", F.coalesce("component", F.struct("doc", "body")).alias("component"))
 
 
 def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id",
@@ -239,7 +249,8 @@ def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col
     least threshold_pct; component_id is the smallest doc_id reachable. NULL, empty
     and blank texts have no shingles and stay alone. Rows without a doc_id come after
     all others and have a NULL component_id among themselves; repeated rows share a
-    component.
+    component. Rows that share a doc_id but not their text are linked each by its own
+    text, so one of them can be kept and another not.
     """
     rows = texts(docs, id_col, text_col)
     found = _keyed_components(rows.select(document_key(F.col("doc_id"), F.col("text")).alias("doc"), "text"), k, threshold_pct)
@@ -247,22 +258,29 @@ def near_components(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col
     def name(key):
         return F.when(F.col(key) < NAMELESS, F.col(key))
 
-    return found.select(name("doc").alias("doc_id"), F.col("n").alias("n_shingles"), name("component").alias("component_id"),
-                        (F.col("component") == F.col("doc")).alias("kept"))
+    return found.select(name("doc").alias("doc_id"), F.col("n").alias("n_shingles"), name("component.doc").alias("component_id"),
+                        (F.col("component.doc") == F.col("doc")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """docs without the rows that are not kept, with all their columns; of rows equal in id and text one stays."""
-    key = document_key(docs[id_col], docs[text_col].cast("string"))
-    found = stored(_keyed_components(docs.select(key.alias("doc"), docs[text_col].cast("string").alias("text")), k, threshold_pct), "near-copies")
-    drop = found.where("component <> doc").select("doc").distinct()
-    again = found.where("component = doc").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
+    """docs without the rows that are near copies of a smaller one, with all their columns.
+
+    Rows are ordered by doc_id and, with the same doc_id, by a hash of their text; each
+    is judged by its own text. Of rows equal in id and text one stays.
+    """
+    text = docs[text_col].cast("string")
+    key, body = document_key(docs[id_col], text), F.xxhash64(text)
+    found = stored(_keyed_components(docs.select(key.alias("doc"), text.alias("text")), k, threshold_pct), "near-copies")
+    own = F.struct("doc", "body")
+    drop = found.where(F.col("component") != own).select("doc", "body").distinct()
+    again = found.where(F.col("component") == own).groupBy("doc", "body").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", "body")
     n_drop, n_again = drop.count(), again.count()
     drop = F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop
-    kept = docs.join(drop, key == drop["doc"], "left_anti")
+    kept = docs.join(drop, (key == drop["doc"]) & (body == drop["body"]), "left_anti")
     if not n_again:
         return kept
     again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
-    once = kept.join(again, key == again["doc"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, key == again["doc"], "left_anti").unionByName(once)
+    repeated = (key == again["doc"]) & (body == again["body"])
+    once = kept.join(again, repeated, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, repeated, "left_anti").unionByName(once)
