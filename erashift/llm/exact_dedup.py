@@ -1,25 +1,29 @@
 """Exact deduplication by Grace hashing.
 
-Records are partitioned by a hash of their normalised text. A task keeps the
-texts of its bucket in an open-addressing table that compares complete content;
-a text that no longer fits goes, with all its copies, to a spill table in the
-shared folder, which is partitioned again by another hash at the next level.
-Copies inside one input batch are folded before the shuffle, so a group that
-holds a third of all rows reaches its bucket as a few partial rows.
+Records are partitioned by a hash of their normalised text into as many buckets as
+their bytes ask for, so that a bucket fits the open-addressing table of a task, which
+compares complete content. Where that takes more buckets than one shuffle should have,
+the records first go to spill files by another hash, and each file is partitioned again.
+A text that does not fit its table after all goes, with all its copies, to a spill file
+too. Copies inside one input batch are folded before the shuffle, so a group that holds
+a third of all rows reaches its bucket as a few partial rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erashift import session
 from erashift.llm.common import texts
 
 TABLE_BYTES = 64 << 20
+MAX_BUCKETS = 20_000  # of one shuffle
+_ROW = 200            # bytes counted for a record beside its content
 _RECORD = "text_sha256 string, content binary, keep_id long, n long, spilled boolean"
 
 
@@ -55,7 +59,7 @@ class ContentTable:
             return False
         self.slots[i] = len(self.rows)
         self.rows.append([sha, content, keep, n])
-        self.used += len(content) + 200
+        self.used += len(content) + _ROW
         if 2 * len(self.rows) > len(self.slots):
             self._grow()
         return True
@@ -118,25 +122,52 @@ def _resolve(limit: int):
     return run
 
 
-def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def _bytes(content: str) -> Column:
+    return F.coalesce(F.sum(F.coalesce(F.octet_length(content), F.lit(0)) + _ROW), F.lit(0))
+
+
+def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """One row per different text: text_sha256, keep_id (largest doc_id), group_size.
 
-    table_bytes bounds what a task holds. Levels go on until no bucket spills;
-    each level resolves at least one text per bucket, so it ends.
+    table_bytes bounds what a task holds, max_buckets the partitions of a shuffle. The
+    depth grows with the logarithm of the data: a level has two buckets for every table
+    its bytes fill, or spills into parts of that many buckets. A bucket resolves at least
+    one text each time, so it ends. max_buckets is at least 2.
     """
     spark = docs.sparkSession
-    pending = docs.mapInArrow(_fold, _RECORD)
-    groups, level = None, 0
-    while True:
-        bucket = F.xxhash64(F.lit(level), "text_sha256")
-        path = session.fresh_dir(spark, f"grace-{level}")
-        pending.repartition(bucket).mapInArrow(_resolve(table_bytes), _RECORD).write.partitionBy("spilled").parquet(path)
-        out = spark.read.schema(_RECORD).parquet(path)
-        done = out.where(~F.col("spilled")).select("text_sha256", "keep_id", F.col("n").alias("group_size"))
-        groups = done if groups is None else groups.unionByName(done)
-        pending, level = out.where("spilled"), level + 1
-        if pending.isEmpty():
-            return groups
+    root = session.fresh_dir(spark, "grace")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pending = [(docs.mapInArrow(_fold, _RECORD), docs.agg(_bytes("text")).collect()[0][0], 0, False)]
+    step = 0
+    while pending:
+        records, size, level, one_text = pending.pop()
+        buckets = math.ceil(2 * size / table_bytes)
+        step += 1
+        if buckets > max_buckets and not one_text:
+            parts = min(max_buckets, math.ceil(buckets / max_buckets))
+            spilled = _spill(records, level, parts, max_buckets, session.fresh_dir(spark, f"grace-parts-{step}"))
+            pending += [(part, n, level + 1, len(spilled) == 1) for part, n in spilled]  # copies cannot be parted
+            continue
+        path = f"{root}/step={step}"
+        dealt = records.repartition(min(max_buckets, max(1, buckets, least)), F.xxhash64(F.lit(level), "text_sha256"))
+        dealt.mapInArrow(_resolve(table_bytes), _RECORD).write.partitionBy("spilled").parquet(path)
+        over = spark.read.schema(_RECORD).parquet(path).where("spilled")
+        size = over.agg(_bytes("content")).collect()[0][0]
+        if size:
+            pending.append((over, size, level + 1, False))
+    return spark.read.schema(_RECORD + ", step int").parquet(root).where(~F.col("spilled")).select(
+        "text_sha256", "keep_id", F.col("n").alias("group_size"))
+
+
+def _spill(records: DataFrame, level: int, parts: int, tasks: int, path: str) -> list[tuple[DataFrame, int]]:
+    """Spill files by a hash of the level: a table for each part that has records, with its bytes."""
+    part = F.pmod(F.xxhash64(F.lit(level), "text_sha256"), F.lit(parts))
+    inside = F.xxhash64(F.lit(f"{level} inside"), "text_sha256")
+    share = F.pmod(inside, F.lit(max(1, tasks // parts)))  # several tasks write a part, each task few parts
+    records.withColumn("part", part).repartition(tasks, "part", share).write.partitionBy("part").parquet(path)
+    out = records.sparkSession.read.schema(_RECORD + ", part long").parquet(path)
+    sizes = out.groupBy("part").agg(_bytes("content").alias("size")).collect()  # one row a part
+    return [(out.where(F.col("part") == row["part"]).drop("part"), row["size"]) for row in sizes]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
