@@ -132,29 +132,29 @@ def merged_filter(hashes: DataFrame, n: int, max_bits: int) -> np.ndarray:
 
 
 def _suspects(filter_bits, fold: bool):
-    """Suspected (key, doc), folded to (key, first doc, last doc) of a batch if asked for."""
+    """Suspected (key, doc, text hash), folded to (key, first doc, last doc) of a batch if asked for."""
     def run(batches):
         again = Bloom(data=filter_bits.value)
         for b in batches:
             keys, docs = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, body in zip(*(b.column(i).to_pylist() for i in range(3))):
                 own = _keys(text)
                 keys.extend(own)
-                docs.extend([doc] * len(own))
+                docs.extend([(doc, body)] * len(own))
             if not keys:
                 continue
             hit = again.has(_hashes(keys))
-            pairs = [(keys[i], docs[i]) for i in np.flatnonzero(hit)]
+            pairs = [(keys[i], *docs[i]) for i in np.flatnonzero(hit)]
             if fold:
                 spans: dict[bytes, tuple[int, int]] = {}
-                for k, d in pairs:
+                for k, d, _ in pairs:
                     lo, hi = spans.get(k, (d, d))
                     spans[k] = (min(lo, d), max(hi, d))
                 pairs = [(k, *v) for k, v in spans.items()]
             if pairs:
                 cols = list(zip(*pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary())] + [pa.array(c, pa.int64()) for c in cols[1:]],
-                                                 names=["key", "first", "last"][:len(cols)])
+                                                 names=["key", "first", "last"] if fold else ["key", "_doc", "_body"])
 
     return run
 
@@ -181,16 +181,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at least ten code points found in two or more documents lose all their lines
     except in the smallest doc_id that holds them. NULL and empty texts are one
     empty line. Rows that share a doc_id are one document; rows without one are a
-    document after all others.
+    document after all others. What a row loses is kept by doc_id and text, so it is
+    never more than its own lines, however many rows share an id or have none.
     """
     rows = texts(docs, id_col, text_col)
-    rows = rows.select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("_doc"), "text", "doc_id")
+    rows = rows.select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("_doc"), "text", F.xxhash64("text").alias("_body"), "doc_id")
     bits = docs.sparkSession.sparkContext.broadcast(repeat_filter(rows.select("_doc", "text"), max_bits))
-    pairs = rows.select("_doc", "text")
+    pairs = rows.select("_doc", "text", "_body")
     repeats = pairs.mapInArrow(_suspects(bits, True), "key binary, first long, last long").groupBy("key").agg(
         F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("key", "first")
-    found = pairs.mapInArrow(_suspects(bits, False), "key binary, _doc long")
-    drops = found.join(stored(repeats, "repeated-lines"), "key").where("_doc > first").groupBy("_doc").agg(
+    found = pairs.mapInArrow(_suspects(bits, False), "key binary, _doc long, _body long")
+    drops = found.join(stored(repeats, "repeated-lines"), "key").where("_doc > first").groupBy("_doc", "_body").agg(
         F.collect_set("key").alias("drop"))
-    return rows.join(drops, "_doc", "left").select("_doc", "doc_id", "text", "drop").mapInArrow(
+    return rows.join(drops, ["_doc", "_body"], "left").select("_doc", "doc_id", "text", "drop").mapInArrow(
         _drop_lines, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")

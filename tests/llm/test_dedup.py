@@ -13,7 +13,29 @@ def test_exact_against_brute_force(docs, pairs, rows):
     want = sorted((i, max(g), len(g), i == max(g), sha(t.encode())) for t, g in groups.items() for i in g)
     cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert sorted(rows(exact_dedup.exact_dedup(docs), *cols)) == want
-    assert sorted(rows(exact_dedup.exact_dedup(docs, table_bytes=500), *cols)) == want  # several levels of spilling
+    assert sorted(rows(exact_dedup.exact_dedup(docs, table_bytes=500), *cols)) == want  # texts larger than a table
+
+
+def test_exact_levels_grow_with_the_logarithm(spark, rows, monkeypatch):
+    made = []
+    fresh = exact_dedup.session.fresh_dir
+    monkeypatch.setattr(exact_dedup.session, "fresh_dir", lambda s, name: made.append(name) or fresh(s, name))
+    depth = []
+    resolve = exact_dedup._resolve
+    monkeypatch.setattr(exact_dedup, "_resolve", lambda limit: depth.append(1) or resolve(limit))
+    for n in (50, 200, 800):  # one step each, however many texts
+        depth.clear()
+        docs = spark.range(n * 2).selectExpr("id as doc_id", f"lpad(cast(id % {n} as string), 100, 'x') as text")
+        got = exact_dedup.exact_groups(docs, table_bytes=8_000)
+        assert (got.count(), got.where("group_size = 2").count(), got.where(f"keep_id >= {n}").count()) == (n, n, n)
+        assert len(depth) <= 2
+    made.clear()
+    got = exact_dedup.exact_groups(docs, table_bytes=20_000, max_buckets=8)  # spill files first, then each on its own
+    assert (got.count(), got.where("group_size = 2").count()) == (800, 800)
+    assert any(name.startswith("grace-parts") for name in made)
+    copies = spark.range(300).selectExpr("id as doc_id", "repeat('y', 5000) as text")
+    got = exact_dedup.exact_groups(copies, table_bytes=500, max_buckets=2)
+    assert [tuple(r) for r in got.select("keep_id", "group_size").collect()] == [(299, 300)]
 
 
 def test_exact_compares_whole_content():
@@ -63,6 +85,20 @@ def test_near_odd_rows(odd, empty, rows):
     assert near_dedup.near_components(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
 
 
+def test_near_several_texts_under_one_id(spark, texts, rows):
+    """Every row is linked by its own text, though ids repeat and many rows have none."""
+    a, b = texts[8], texts[27] + " tail words here to make it long enough"
+    near = lambda t: t + " appended"
+    given = [(0, a), (1, near(a)), (1, b), (2, near(b)), (3, a), (3, near(b) + " again"), (None, a), (None, near(b)), (None, "clean " * 9), (5, b), (5, b)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    got = rows(near_dedup.near_components(docs), "doc_id", "component_id", "kept")
+    assert got == sorted([(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 0, False), (3, 1, False), (None, 0, False), (None, 1, False),
+                          (None, None, True), (5, 1, False), (5, 1, False)], key=repr)
+    assert rows(near_dedup.drop_near_copies(docs)) == sorted([(0, a), (1, b), (None, "clean " * 9)], key=repr)
+    twice = spark.createDataFrame([(4, a), (4, near(a)), (4, "other " * 9)], docs.schema)
+    assert near_dedup.drop_near_copies(twice).count() == 2  # near copies under one id: one of them stays
+
+
 def test_bands_keep_the_promised_miss_rate():
     for pct in (80, 85):
         bands, rows = near_dedup.shape(pct)
@@ -214,3 +250,12 @@ def test_lines_with_a_full_filter(docs, pairs, rows, monkeypatch):
 def test_lines_odd_rows(odd, empty):
     assert line_dedup.line_dedup(odd).where("n_dropped = 0").count() == 6  # one of the NULL ids repeats the line of 7
     assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_lines_of_many_rows_without_ids(spark, rows):
+    shared = [f"a shared line with number {i}" for i in range(20)]
+    given = [(1, "\n".join(shared))] + [(None, f"{shared[i % 20]}\nmy own line, number {i}\n{shared[(i + 3) % 20]}") for i in range(60)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    got = line_dedup.line_dedup(docs)
+    assert rows(got, "doc_id", "n_lines", "n_dropped") == sorted([(1, 20, 0)] + [(None, 3, 2)] * 60, key=repr)
+    assert sorted(r[0] for r in got.where("doc_id is null").select("kept_text").collect()) == sorted(f"my own line, number {i}" for i in range(60))
