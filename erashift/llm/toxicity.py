@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from erashift.llm.labelled import MAX_TRAIN_ROWS, remainder, remainder_of, score
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.5
 BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 20, 8, 250, 0.05, 1e-5
-MIN_Z, MIN_TEXTS = 4.0, 3
+PRIOR_TEXTS, PRIOR_POWER = 10.0, 2  # see evidence()
 GRAMS = (3, 4, 5)
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 300_000
@@ -45,20 +46,24 @@ def gram_buckets(word: str) -> list[int]:
 _known_buckets = functools.lru_cache(20_000)(gram_buckets)  # common words come in most texts
 
 
-def _mean_matrix(index: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
-    """Index, weights, row starts and row lengths of a sparse matrix that averages over sizes[i]
-    entries, of which the next lengths[i] of index are not zero; no row is empty."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    return index, np.repeat((1 / sizes).astype(np.float32), lengths), starts, lengths
+class MeanMatrix:
+    """Averages over the entries of each row: the next count[i] columns in of are those of row i.
 
+    No row and no column is empty, so that both directions are sums over neighbours.
+    """
 
-def _times(m, x: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x[m[0]] * m[1][:, None], m[2], axis=0)
+    def __init__(self, of: np.ndarray, count: np.ndarray):
+        row = np.repeat(np.arange(len(count)), count)
+        by_column = np.argsort(of, kind="stable")
+        self.of, self.row_starts = of.astype(np.intp), np.cumsum(count) - count
+        self.row, entries = row[by_column], np.bincount(of)
+        self.column_starts, self.share = np.cumsum(entries) - entries, 1 / count
 
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.of], self.row_starts) * self.share
 
-def _times_transposed(m, g: np.ndarray, n: int) -> np.ndarray:
-    spread = np.repeat(g, m[3], axis=0) * m[1][:, None]
-    return np.stack([np.bincount(m[0], weights=spread[:, k], minlength=n) for k in range(g.shape[1])], axis=1).astype(np.float32)
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.add.reduceat((g * self.share)[self.row], self.column_starts)
 
 
 class Adam:
@@ -75,14 +80,21 @@ class Adam:
 
 @dataclass
 class ToxicityModel:
-    """What each telling n-gram bucket adds to the log odds of label 1, and the bias."""
+    """What each n-gram bucket of the labelled texts adds to the log odds of label 1, and the bias."""
 
-    weight: dict[int, float]
+    buckets: np.ndarray
+    adds: np.ndarray
     bias: float
 
+    @functools.cached_property
+    def weight(self) -> dict[int, float]:
+        return dict(zip(self.buckets.tolist(), self.adds.tolist()))
+
     def scorer(self):
         cache: dict[str, float] = {}
-        weight = self.weight
+        all_buckets = np.zeros(BUCKETS, np.float32)
+        all_buckets[self.buckets] = self.adds
+        adds_of = array("f", all_buckets.tobytes()).__getitem__
 
         def score(text: str) -> float:
             words = words_of(text)
@@ -93,7 +105,7 @@ class ToxicityModel:
                     if len(cache) >= _CACHED_WORDS:
                         cache.clear()
                     grams = gram_buckets(w)
-                    v = cache[w] = sum(weight[g] for g in grams if g in weight) / len(grams)
+                    v = cache[w] = sum(map(adds_of, grams)) / len(grams)
                 total += v
             z = self.bias + (total / len(words) if words else 0.0)
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
@@ -101,15 +113,19 @@ class ToxicityModel:
         return score
 
 
-def telling(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which n-gram buckets' share of texts differs between the classes: seen[c, bucket] of the n[c] texts of class c.
+def evidence(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far from zero an n-gram's vector may move before the penalty holds it, against the others.
 
-    Only these get a vector of their own; all others keep zero, so that thousands
-    of chance n-grams don't add up in a long text.
+    seen[c, i] of the n[c] texts of class c have n-gram i. The difference of the
+    smoothed log odds in its standard errors, to the power PRIOR_POWER: every n-gram
+    has a vector, but thousands of chance n-grams don't add up in a long text.
+    PRIOR_TEXTS texts of the usual mix are added to what was seen. (The power was
+    chosen on the training folds alone.)
     """
-    p = seen.sum(0) / n.sum()
-    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
-    return (np.abs(z) >= MIN_Z) & (seen.sum(0) >= MIN_TEXTS)
+    prior = PRIOR_TEXTS * (n / n.sum())[:, None]
+    odds = np.log(seen + prior) - np.log(n[:, None] - seen + PRIOR_TEXTS)
+    z = (odds[1] - odds[0]) / np.sqrt((1 / (seen + prior)).sum(0))
+    return (np.abs(z) / 4) ** PRIOR_POWER
 
 
 def word_number(word: str) -> int:
@@ -117,133 +133,121 @@ def word_number(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def grams_of_text(text: str) -> tuple[int, list[int]]:
-    """How many different words a text has, and their n-gram buckets."""
+def bag_of_text(text: str) -> tuple[list[int], list[str], list[int]]:
+    """A text's different words, their numbers before them, and the different n-gram buckets of all."""
     bag = words_of(text)
-    return len(bag), sorted({g for w in bag for g in _known_buckets(w)})
-
-
-def telling_words(text: str, used: set[int]) -> tuple[int, list[dict]]:
-    """How many different words a text has, and those with a bucket among used: number, n-grams, buckets among used."""
-    bag = words_of(text)
-    out = []
-    for w in bag:
-        grams = _known_buckets(w)
-        mine = [g for g in grams if g in used]
-        if mine:
-            out.append({"number": word_number(w), "size": len(grams), "grams": mine})
-    return len(bag), out
+    return [word_number(w) for w in bag], bag, sorted({g for w in bag for g in _known_buckets(w)})
 
 
 @dataclass
 class Labelled:
-    """The labelled texts as flat arrays of numbers."""
+    """The labelled texts that have words, as flat arrays of numbers."""
 
-    label: np.ndarray        # of each text with words
-    bag_size: np.ndarray     # its different words
-    word_count: np.ndarray   # how many of them are in word_of
-    word_of: np.ndarray      # numbers of these words, text after text
+    label: np.ndarray        # of each text
+    word_count: np.ndarray   # its different words
+    word_of: np.ndarray      # their numbers, text after text
     number: np.ndarray       # the different words, ascending
-    size: np.ndarray         # the n-grams of each
-    gram_count: np.ndarray   # how many of them are in gram_of
+    gram_count: np.ndarray   # the n-grams of each
     gram_of: np.ndarray      # their buckets, word after word
+    bucket: np.ndarray       # the different buckets, ascending
+    seen: np.ndarray         # seen[c, i] texts of class c have bucket[i]
 
 
 def constant(y: np.ndarray) -> ToxicityModel:
     """The model that answers the share of label 1 (0 if there is no label)."""
     share = min(max(float(np.mean(y)) if len(y) else 0.0, 1e-9), 1 - 1e-9)
-    return ToxicityModel({}, math.log(share / (1 - share)))
+    return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), math.log(share / (1 - share)))
 
 
 def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
     """fit_flat() on a few texts at hand.
 
-    Without both classes, or without a telling n-gram, the model answers the share
-    of label 1 (0 if there is no label).
+    Without texts of both classes the model answers the share of label 1 (0 if there is no label).
     """
-    bags = [(grams_of_text(t), t, k) for t, k in zip(texts, y)]
-    full = [(g, t, k) for (n, g), t, k in bags if n]
-    n = np.bincount([k for *_, k in full], minlength=2)
-    if not n.all():
+    full = [(*bag_of_text(t), k) for t, k in zip(texts, y) if words_of(t)]
+    if not np.bincount([k for *_, k in full], minlength=2).all():
         return constant(np.array(y))
+    words = {i: w for numbers, ws, *_ in full for i, w in zip(numbers, ws)}
+    number = sorted(words)
+    grams = [gram_buckets(words[i]) for i in number]
+    bucket = np.unique(np.concatenate([np.array(g) for g in grams]))
     seen = np.zeros((2, BUCKETS))
-    for grams, _, k in full:
-        seen[k, grams] += 1
-    used = set(np.flatnonzero(telling(seen, n)).tolist())
-    made = [telling_words(t, used) for _, t, _ in full]
-    words = {w["number"]: w for _, ws in made for w in ws}
-    known = [words[k] for k in sorted(words)]
-    flat = lambda values: np.array(list(values), np.int64)
-    data = Labelled(flat(k for *_, k in full), flat(s for s, _ in made), flat(len(ws) for _, ws in made),
-                    flat(w["number"] for _, ws in made for w in ws), flat(w["number"] for w in known), flat(w["size"] for w in known),
-                    flat(len(w["grams"]) for w in known), flat(g for w in known for g in w["grams"]))
-    return fit_flat(data, epochs, seed) if used else constant(np.array(y))
+    for _, _, found, k in full:
+        seen[k, found] += 1
+    flat = lambda lists: np.array([x for values in lists for x in values], np.int64)
+    return fit_flat(Labelled(
+        np.array([k for *_, k in full]), np.array([len(ws) for _, ws, *_ in full]), flat(numbers for numbers, *_ in full),
+        np.array(number), np.array([len(g) for g in grams]), flat(grams), bucket, seen[:, bucket]), epochs, seed)
 
 
 def fit_flat(data: Labelled, epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
-    """Fit embeddings and softmax together, both classes weighing the same."""
-    used, gram_index = np.unique(data.gram_of, return_inverse=True)
-    label, at = data.label, np.flatnonzero(data.word_count)  # the other texts are the bias alone
-    doc_words = _mean_matrix(np.searchsorted(data.number, data.word_of), data.word_count[at], data.bag_size[at])
-    word_grams = _mean_matrix(gram_index, data.gram_count, data.size)
+    """Fit embeddings and softmax together, both classes weighing the same.
+
+    A text is the mean of its words, a word the mean of its n-grams' vectors, each
+    vector times its evidence. As the softmax is linear, the averages are taken of
+    what a vector adds to the log odds, one number instead of DIM; its gradient
+    comes back the same way.
+    """
+    label, n = data.label, len(data.bucket)
+    words = MeanMatrix(np.searchsorted(data.number, data.word_of), data.word_count)
+    chars = MeanMatrix(np.searchsorted(data.bucket, data.gram_of), data.gram_count)
+    classes = np.bincount(label, minlength=2)
+    held = evidence(data.seen, classes)
     rng = np.random.default_rng(seed)
-    grams = Adam(rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), RATE)
+    grams = Adam(rng.normal(0, 0.1, (n, DIM)).astype(np.float32), RATE)
     head = Adam(rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), RATE)
-    bias = Adam(np.zeros((1, 2), np.float32), RATE)
-    weight = (0.5 / np.bincount(label, minlength=2)[label]).astype(np.float32)[:, None]
-    pooled = np.zeros((len(label), DIM), np.float32)
+    bias = Adam(np.zeros(2, np.float32), RATE)
+    weight = (0.5 / classes)[label]
     for _ in range(epochs):
-        pooled[at] = _times(doc_words, _times(word_grams, grams.value))
-        z = pooled @ head.value + bias.value
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(label)), label] -= 1
-        p *= weight
-        back = _times_transposed(word_grams, _times_transposed(doc_words, p[at] @ head.value.T, len(data.number)), len(used))
-        head.move(pooled.T @ p + DECAY * head.value)
-        bias.move(p.sum(0, keepdims=True))
-        grams.move(back + DECAY * grams.value)
-    adds = grams.value @ (head.value[:, 1] - head.value[:, 0])
-    return ToxicityModel(dict(zip(used.tolist(), adds.tolist())), float(bias.value[0, 1] - bias.value[0, 0]))
+        toward = head.value[:, 1] - head.value[:, 0]
+        z = words.times(chars.times(held * (grams.value @ toward))) + bias.value[1] - bias.value[0]
+        miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) * weight
+        back = (held * chars.transposed_times(words.transposed_times(miss))).astype(np.float32)
+        turn = grams.value.T @ back
+        grams.move(np.outer(back, toward) + DECAY * grams.value)
+        head.move(np.stack([-turn, turn], axis=1) + DECAY * head.value)
+        bias.move(np.array([-miss.sum(), miss.sum()], np.float32))
+    adds = held * (grams.value @ (head.value[:, 1] - head.value[:, 0]))
+    return ToxicityModel(data.bucket.astype(np.int32), adds.astype(np.float32), float(bias.value[1] - bias.value[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold, at most max_rows of them.
 
-    The executors split the texts and count n-grams. The driver gets the telling buckets, each different word that has
-    one (its buckets), and the numbers of such words per text.
+    The executors split the texts and count n-grams. The driver gets numbers only: the buckets of each different word
+    once, the numbers of the words of each text, and each bucket's texts per class.
     """
     labelled = training_texts(docs, labels, "toxic", lambda i: remainder(i, FOLDS) != HELD_OUT_FOLD, max_rows)
-    bags = stored(training_features(labelled, grams_of_text, "words int, grams array<int>"), "toxicity-grams")
-    n = {(r["y"], r["full"]): r["n"] for r in bags.groupBy("y", (F.col("words") > 0).alias("full")).agg(F.count("*").alias("n")).collect()}
-    texts_of = np.array([n.get((y, True), 0) for y in (0, 1)])
-    alone = constant(np.repeat([0, 1], [n.get((y, True), 0) + n.get((y, False), 0) for y in (0, 1)]))
-    if not texts_of.all():
-        return alone
-    counts = bags.select("y", F.explode("grams").alias("bucket")).groupBy("bucket").agg(
-        F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
-    found = counts.where(F.col("c0") + F.col("c1") >= MIN_TEXTS).toArrow()  # at most BUCKETS rows of three numbers
-    seen = np.stack([found["c0"].to_numpy(), found["c1"].to_numpy()]).astype(np.float64)
-    used = found["bucket"].to_numpy()[telling(seen, texts_of)]
-    if not len(used):
-        return alone
-    shared = docs.sparkSession.sparkContext.broadcast(set(used.tolist()))
-    words_schema = "bag int, words array<struct<number:bigint,size:int,grams:array<int>>>"
-    made = stored(training_features(labelled, lambda text: telling_words(text, shared.value), words_schema), "toxicity-words").where("bag > 0")
-    per_text = made.select("doc_id", "y", "bag", F.col("words.number").alias("numbers")).orderBy("doc_id").drop("doc_id").toArrow()
-    words = made.select(F.explode("words").alias("w")).select("w.*").dropDuplicates(["number"]).orderBy("number").toArrow()
-    flat = lambda table, name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = lambda table, name: pc.list_value_length(table[name]).to_numpy().astype(np.int64)
-    plain = lambda table, name: table[name].to_numpy().astype(np.int64)
-    return fit_flat(Labelled(plain(per_text, "y"), plain(per_text, "bag"), sizes(per_text, "numbers"), flat(per_text, "numbers"),
-                             plain(words, "number"), plain(words, "size"), sizes(words, "grams"), flat(words, "grams")))
+    bags = stored(training_features(labelled, bag_of_text, "numbers array<bigint>, words array<string>, grams array<int>"), "toxicity-bags")
+    n = {(r["y"], r["full"]): r["n"] for r in bags.groupBy("y", (F.size("words") > 0).alias("full")).agg(F.count("*").alias("n")).collect()}
+    if not all(n.get((y, True)) for y in (0, 1)):
+        return constant(np.repeat([0, 1], [n.get((y, True), 0) + n.get((y, False), 0) for y in (0, 1)]))
+    full = bags.where(F.size("words") > 0)
+    counts = full.select("y", F.explode("grams").alias("bucket")).groupBy("bucket").agg(
+        F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1")).orderBy("bucket").toArrow()  # at most BUCKETS rows
+    per_text = full.select("doc_id", "y", "numbers").orderBy("doc_id").drop("doc_id").toArrow()
+    both = F.explode(F.arrays_zip("numbers", "words")).alias("w")
+    words = full.select(both).select("w.numbers", "w.words").dropDuplicates(["numbers"])
+    words = words.mapInArrow(_word_grams, "number long, grams array<int>").orderBy("number").toArrow()
+    flat = lambda table, name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = lambda table, name: pc.list_value_length(table[name]).to_numpy()
+    plain = lambda table, name: table[name].to_numpy()
+    return fit_flat(Labelled(plain(per_text, "y"), sizes(per_text, "numbers"), flat(per_text, "numbers"), plain(words, "number"),
+                             sizes(words, "grams"), flat(words, "grams"), plain(counts, "bucket"),
+                             np.stack([plain(counts, "c0"), plain(counts, "c1")]).astype(np.float64)))
+
+
+def _word_grams(batches):
+    for b in batches:
+        grams = pa.array([gram_buckets(w) for w in b.column(1).to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), grams], names=["number", "grams"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row and its whole text.
 
     NULL and empty texts get the score of the bias alone. Only the text is scored;
-    repeated rows get equal scores. The model is broadcast: one number per telling n-gram.
+    repeated rows get equal scores. The model is broadcast: one number per n-gram bucket, at most BUCKETS.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_rows(docs, lambda: shared.value.scorer(), lambda i: remainder_of(i, FOLDS) == HELD_OUT_FOLD, THRESHOLD)

@@ -1,5 +1,6 @@
 """Decontamination, classifiers, mixing, sharding and the pipeline."""
 
+import collections
 import math
 import re
 import zlib
@@ -277,3 +278,28 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_random_misspellings_of_toxic_words_are_caught(spark):
+    """Words that toxic texts hold far more often, each with one letter dropped, doubled or swapped at random."""
+    import random
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 5}
+    known = [(toxic[r["doc_id"]], r["text"]) for r in docs.collect() if r["doc_id"] in toxic and r["text"]]
+    texts_of, share = collections.Counter(), collections.Counter()
+    for y, t in known:
+        for w in toxicity.words_of(t):
+            texts_of[w] += 1
+            share[w] += y
+    rude = sorted(w for w in texts_of if len(w) >= 6 and share[w] >= 4 and share[w] / texts_of[w] > 0.8)
+    assert rude
+    score = toxicity.fit([t for _, t in known], [y for y, _ in known]).scorer()
+    draw, judged = random.Random(5), []
+    for w in rude * 5:
+        i = draw.randrange(1, len(w) - 1)
+        wrong = draw.choice([w[:i] + w[i + 1:], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2:]])
+        if wrong not in texts_of:
+            judged.append(score(wrong) > 0.5)
+    assert len(judged) >= 20 and sum(judged) / len(judged) > 0.9
