@@ -119,8 +119,8 @@ def evidence(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
     seen[c, i] of the n[c] texts of class c have n-gram i. The difference of the
     smoothed log odds in its standard errors, to the power PRIOR_POWER: every n-gram
     has a vector, but thousands of chance n-grams don't add up in a long text.
-    PRIOR_TEXTS texts of the usual mix are added to what was seen. (The power was
-    chosen on the training folds alone.)
+    PRIOR_TEXTS texts of the usual mix are added to what was seen. (The README tells
+    how the power was chosen.)
     """
     prior = PRIOR_TEXTS * (n / n.sum())[:, None]
     odds = np.log(seen + prior) - np.log(n[:, None] - seen + PRIOR_TEXTS)
