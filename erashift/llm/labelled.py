@@ -1,4 +1,4 @@
-"""What the two classifiers share: the split by id, the bounded sample of labelled rows, scoring."""
+"""What the two classifiers share: the split by id, the labelled rows, scoring."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from erashift.llm.common import stored, texts
+from erashift.operators.skew import is_bounded
 
-MAX_TRAIN_ROWS = 6_000  # labelled rows a model is fitted on, at most
+MAX_TRAIN_ROWS = 6_000  # labelled rows the toxicity model is fitted on, at most
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -25,14 +26,37 @@ def remainder_of(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
+def _known(labels: DataFrame, label: str, usable: Callable[[Column], Column]) -> DataFrame:
+    """_doc, _y: one row per usable labelled id."""
+    known = labels.select(labels["doc_id"].cast("long").alias("_doc"), labels[label].cast("int").alias("_y")).dropna()
+    return known.where(usable(F.col("_doc"))).groupBy("_doc").agg(F.max("_y").alias("_y"))
+
+
+def all_training_features(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Column], Column],
+                          features: Callable[[str], tuple], schema: str) -> DataFrame:
+    """doc_id, y and what features(text) returns for every labelled document.
+
+    No text is shuffled: the labels are broadcast if they are few, else features are made first and labels join them.
+    """
+    known = stored(_known(labels, label, usable).where(F.col("_y").isin(0, 1)), f"{label}-known")
+    rows = texts(docs).where("text is not null").where(usable(F.col("doc_id")))
+    few = is_bounded(known)
+    if few:
+        rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_doc"))
+    given = F.col("_y") if few else F.lit(0)
+    made = training_features(rows.select("doc_id", given.alias("y"), F.sha2("text", 256).alias("digest"), "text"), features, schema)
+    if few:
+        return made
+    return made.drop("y").join(known, F.col("doc_id") == F.col("_doc")).withColumn("y", F.col("_y")).drop("_doc", "_y")
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Column], Column], max_rows: int) -> DataFrame:
     """doc_id, y, digest (SHA-256), text of at most max_rows labelled documents, chosen by a hash of their id.
 
     Half of the sample goes to each class if it has that many; a document that is labelled more than once counts as 1
     if any row says so. Texts are whole, of any length, stay on the executors and are dealt evenly to them.
     """
-    known = labels.select(labels["doc_id"].cast("long").alias("_doc"), labels[label].cast("int").alias("_y")).dropna()
-    known = known.where(usable(F.col("_doc"))).groupBy("_doc").agg(F.max("_y").alias("_y"))
+    known = _known(labels, label, usable)
     by_hash = F.xxhash64("_doc")
     parts = [known.where(F.col("_y") == y).orderBy(by_hash, "_doc").limit(max_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most max_rows pairs of numbers

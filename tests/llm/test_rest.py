@@ -132,6 +132,40 @@ def test_cut_with_tied_strengths():
     assert quality.cut_at(strengths, np.full(100, 0.01), 1.0) > 0.9
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_quality_is_learnt_from_every_label(spark, monkeypatch, few):
+    import numpy as np
+
+    from erashift.llm import labelled
+    from erashift.operators.skew import is_bounded
+
+    monkeypatch.setattr(labelled, "is_bounded", lambda df: is_bounded(df, few))
+    monkeypatch.setattr(quality, "FEW", 50)
+    good = [(i, f"{'plain words of a text ' * (1 + i % 9)}number {i}", 1) for i in range(7_000)]
+    bad = [(i, f"SHOUT {i}! {'mixed words ' * (i % 7)}{'!' * (i % 5)}", 0) for i in range(7_000, 9_000)]
+    table = good + bad
+    docs = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, quality int")
+    used = [r for r in table if crc(r[0]) % 4 != 2]
+    assert len(used) > 6_000
+    model, plain = quality.train_quality(docs, labels), quality.fit([t for _, t, _ in used], [y for *_, y in used])
+    assert np.allclose(model.mean, plain.mean, rtol=1e-9) and np.allclose(model.weight, plain.weight, rtol=1e-3, atol=1e-3)
+    assert math.isclose(model.cut, plain.cut, rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_quality_minimises_the_loss_over_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 12))
+    label = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(0, 0.3, 300) > 0.6).astype(int)
+    model = quality.fit_features(x, label)
+    z = model.standard(x)
+    diff = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, 24)
+    pull = diff.T @ (1 / (1 + np.exp(diff @ model.weight))) / len(diff) - quality.DECAY * model.weight
+    assert np.abs(pull).max() < 1e-3 and np.abs(model.weight).max() > 0.1
+
+
 def test_training_reads_long_texts_and_one_text_of_an_id(spark):
     from erashift.llm.labelled import training_features, training_texts
 
