@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ PRIOR_TEXTS, PRIOR_POWER = 10.0, 2  # see evidence()
 GRAMS = (3, 4, 5)
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 300_000
+CHUNK = 1 << 20  # entries the fit takes at a time
 
 
 def words_of(text: str) -> list[str]:
@@ -49,21 +51,38 @@ _known_buckets = functools.lru_cache(20_000)(gram_buckets)  # common words come
 class MeanMatrix:
     """Averages over the entries of each row: the next count[i] columns in of are those of row i.
 
-    No row and no column is empty, so that both directions are sums over neighbours.
+    No row and no column is empty, so that both directions are sums over neighbours. Entries are 32-bit numbers and
+    are taken about CHUNK at a time, so that no array of doubles is as long as all of them.
     """
 
     def __init__(self, of: np.ndarray, count: np.ndarray):
-        row = np.repeat(np.arange(len(count)), count)
-        by_column = np.argsort(of, kind="stable")
-        self.of, self.row_starts = of.astype(np.intp), np.cumsum(count) - count
-        self.row, entries = row[by_column], np.bincount(of)
-        self.column_starts, self.share = np.cumsum(entries) - entries, 1 / count
+        self.of, self.share = of.astype(np.int32), 1 / count
+        by_column = np.argsort(self.of, kind="stable").astype(np.int32)
+        self.row = np.repeat(np.arange(len(count), dtype=np.int32), count)[by_column]
+        del by_column
+        self.row_blocks, self.column_blocks = _blocks(count), _blocks(np.bincount(self.of))
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[self.of], self.row_starts) * self.share
+        return _neighbour_sums(x, self.of, self.row_blocks) * self.share
 
     def transposed_times(self, g: np.ndarray) -> np.ndarray:
-        return np.add.reduceat((g * self.share)[self.row], self.column_starts)
+        return _neighbour_sums(g * self.share, self.row, self.column_blocks)
+
+
+def _blocks(count: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """Of runs of count[i] entries: (first entry, end, starts inside) of consecutive blocks of about CHUNK entries."""
+    ends = np.cumsum(count)
+    starts = ends - count
+    edges = np.unique(np.append(np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)), len(count)))
+    out, at = [], 0
+    for edge in edges[edges > 0].tolist():
+        out.append((int(starts[at]), int(ends[edge - 1]), (starts[at:edge] - starts[at]).astype(np.int32)))
+        at = edge
+    return out
+
+
+def _neighbour_sums(x: np.ndarray, of: np.ndarray, blocks: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([np.add.reduceat(x[of[a:b]], starts) for a, b, starts in blocks])
 
 
 class Adam:
@@ -71,11 +90,24 @@ class Adam:
         self.value, self.rate, self.step = value, rate, 0
         self.m, self.v = np.zeros_like(value), np.zeros_like(value)
 
-    def move(self, grad: np.ndarray) -> None:
+    def move(self, grad_of: Callable[[slice], np.ndarray]) -> None:
+        """One step; grad_of(rows) is asked for some rows at a time."""
         self.step += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.001 * (grad * grad - self.v)
-        self.value -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
+        for at in range(0, len(self.value), CHUNK // 16):
+            rows = slice(at, at + CHUNK // 16)
+            grad, m, v = grad_of(rows), self.m[rows], self.v[rows]
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            self.value[rows] -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _normal(rng: np.random.Generator, n: int) -> np.ndarray:
+    """n x DIM small numbers, drawn some rows at a time."""
+    out = np.empty((n, DIM), np.float32)
+    for at in range(0, n, CHUNK // 16):
+        part = out[at:at + CHUNK // 16]
+        part[:] = rng.normal(0, 0.1, part.shape)
+    return out
 
 
 @dataclass
@@ -180,6 +212,14 @@ def fit(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) ->
         np.array(number), np.array([len(g) for g in grams]), flat(grams), bucket, seen[:, bucket]), epochs, seed)
 
 
+def _places(ranked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value stands in ranked."""
+    out = np.empty(len(values), np.int32)
+    for at in range(0, len(values), CHUNK):
+        out[at:at + CHUNK] = np.searchsorted(ranked, values[at:at + CHUNK])
+    return out
+
+
 def fit_flat(data: Labelled, epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together, both classes weighing the same.
 
@@ -188,13 +228,14 @@ def fit_flat(data: Labelled, epochs: int = EPOCHS, seed: int = 7) -> ToxicityMod
     what a vector adds to the log odds, one number instead of DIM; its gradient
     comes back the same way.
     """
-    label, n = data.label, len(data.bucket)
-    words = MeanMatrix(np.searchsorted(data.number, data.word_of), data.word_count)
-    chars = MeanMatrix(np.searchsorted(data.bucket, data.gram_of), data.gram_count)
+    label, bucket, n = data.label, data.bucket.astype(np.int32), len(data.bucket)
+    words = MeanMatrix(_places(data.number, data.word_of), data.word_count)
+    chars = MeanMatrix(_places(data.bucket, data.gram_of), data.gram_count)
     classes = np.bincount(label, minlength=2)
     held = evidence(data.seen, classes)
+    del data
     rng = np.random.default_rng(seed)
-    grams = Adam(rng.normal(0, 0.1, (n, DIM)).astype(np.float32), RATE)
+    grams = Adam(_normal(rng, n), RATE)
     head = Adam(rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), RATE)
     bias = Adam(np.zeros(2, np.float32), RATE)
     weight = (0.5 / classes)[label]
@@ -204,11 +245,11 @@ def fit_flat(data: Labelled, epochs: int = EPOCHS, seed: int = 7) -> ToxicityMod
         miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) * weight
         back = (held * chars.transposed_times(words.transposed_times(miss))).astype(np.float32)
         turn = grams.value.T @ back
-        grams.move(np.outer(back, toward) + DECAY * grams.value)
-        head.move(np.stack([-turn, turn], axis=1) + DECAY * head.value)
-        bias.move(np.array([-miss.sum(), miss.sum()], np.float32))
+        grams.move(lambda rows: np.outer(back[rows], toward) + DECAY * grams.value[rows])
+        head.move(lambda rows: (np.stack([-turn, turn], axis=1) + DECAY * head.value)[rows])
+        bias.move(lambda rows: np.array([-miss.sum(), miss.sum()], np.float32)[rows])
     adds = held * (grams.value @ (head.value[:, 1] - head.value[:, 0]))
-    return ToxicityModel(data.bucket.astype(np.int32), adds.astype(np.float32), float(bias.value[1] - bias.value[0]))
+    return ToxicityModel(bucket, adds.astype(np.float32), float(bias.value[1] - bias.value[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
@@ -229,12 +270,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
     both = F.explode(F.arrays_zip("numbers", "words")).alias("w")
     words = full.select(both).select("w.numbers", "w.words").dropDuplicates(["numbers"])
     words = words.mapInArrow(_word_grams, "number long, grams array<int>").orderBy("number").toArrow()
+    flat = _flat(per_text, words, counts)
+    del per_text, words, counts
+    return fit_flat(flat)
+
+
+def _flat(per_text: pa.Table, words: pa.Table, counts: pa.Table) -> Labelled:
     flat = lambda table, name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     sizes = lambda table, name: pc.list_value_length(table[name]).to_numpy()
     plain = lambda table, name: table[name].to_numpy()
-    return fit_flat(Labelled(plain(per_text, "y"), sizes(per_text, "numbers"), flat(per_text, "numbers"), plain(words, "number"),
-                             sizes(words, "grams"), flat(words, "grams"), plain(counts, "bucket"),
-                             np.stack([plain(counts, "c0"), plain(counts, "c1")]).astype(np.float64)))
+    return Labelled(plain(per_text, "y"), sizes(per_text, "numbers"), flat(per_text, "numbers"), plain(words, "number"),
+                    sizes(words, "grams"), flat(words, "grams"), plain(counts, "bucket"),
+                    np.stack([plain(counts, "c0"), plain(counts, "c1")]).astype(np.float64))
 
 
 def _word_grams(batches):
