@@ -126,7 +126,8 @@ def classifier(model_type: str, _n_train: int | None = None, **overrides):
     common = {"featuresCol": "features", "labelCol": "y", **overrides}
     if model_type == "rf":
         return RandomForestClassifier(**{"numTrees": 200, "maxDepth": 30, "seed": fv.SEED, "weightCol": "weight",
-                                         "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024, **common})
+                                         "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024,
+                                         "cacheNodeIds": True, "checkpointInterval": 10, **common})
     if model_type == "xgb":
         return GBTClassifier(**{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                                 "featureSubsetStrategy": "0.8", "seed": fv.SEED, **common})
