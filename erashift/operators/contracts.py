@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from erashift import fixed_values as fv
 from erashift.operators.order_stats import melt
+from erashift.session import cut
 
 STAT_COLS = ["dataset", "col", "rows", "present", "low", "high"]
 
@@ -89,10 +90,11 @@ def fully_null_features(stats: DataFrame) -> DataFrame:
 
 
 def validate_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Raise on missing columns or repeated keys; return feature_diagnostics."""
+    """Raise on missing columns or repeated keys; return feature_diagnostics. The frame is computed once."""
     absent = [c for c in ("dataset", "user_id", *cols) if c not in df.columns]
     if absent:
         raise ValueError(f"missing columns: {absent}")
+    df = cut(df.select("dataset", "user_id", *cols))  # read twice below
     repeated = df.groupBy("dataset", "user_id").count().filter("count > 1")
     if not repeated.isEmpty():
         raise ValueError("(dataset, user_id) is not unique")

@@ -146,3 +146,27 @@ def test_pair_errors(frame):
         experiment.pair_data(split, {("a", "b"): ["ghost"]}, "a", "b")
     with pytest.raises(ValueError):
         models.classifier("tree", 1)
+
+
+def test_forest_walks_rows_down_once(spark):
+    """Deep forests keep each row's node instead of walking it down every tree in every pass."""
+    forest = models.classifier("rf")
+    assert forest.getCacheNodeIds() and forest.getMaxDepth() == 30 and forest.getNumTrees() == 200
+
+
+def test_validation_computes_the_frame_once(spark, monkeypatch):
+    stored = []
+    cut = contracts.cut
+    monkeypatch.setattr(contracts, "cut", lambda df: (stored.append(df), cut(df))[1])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", str(i), float(i), 1.0) for i in range(20)]
+    frame = spark.createDataFrame(rows, "dataset string, user_id string, x double, unused double")
+    got = contracts.validate_frame(frame.mapInArrow(count, frame.schema), ["x"]).collect()
+    assert len(stored) == 1 and seen.value == 20 and stored[0].columns == ["dataset", "user_id", "x"]
+    assert [tuple(r) for r in got] == [("a", "x", 20, 0.0, 0)]
