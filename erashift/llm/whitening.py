@@ -204,7 +204,9 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         centre, rest, k = np.array(w.centre, np.int64), np.array(w.rest, np.int64), w.weight.shape[1]
         for b in batches:
             whole = _matrix(b.column(1), dim) - centre
-            white = (whole - rest / w.n) @ w.weight
+            off, white = whole - rest / w.n, np.zeros((b.num_rows, k))
+            for j in range(dim):  # one order of additions, which a matrix product of another length would not keep
+                white += off[:, j, None] * w.weight[j]
             each = np.repeat(np.arange(b.num_rows), k)
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(each)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), b.num_rows)),
