@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from erashift.llm.common import ORPHAN, mix, powers, stored
+from erashift.llm.common import ORPHAN, Steps, mix, powers
 from erashift.llm.line_dedup import Bloom, merged_filter
 
 SHARD_UNITS = 400_000       # units one index is built over, about
@@ -125,8 +125,12 @@ def _suspected(units, window, gram, bits):
 def _contents(cut: Callable):
     """The content of each wanted segment of a row."""
     def run(batches):
+        done = None
         for b in batches:
             for doc, row, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (doc, row) == done:  # equal rows of one doc_id, which a shuffle brings together
+                    continue
+                done = doc, row
                 data = cut((text or "").encode(), [(w["start"], w["start"] + w["len"]) for w in wanted])
                 cols = [[w[k] for w in wanted] for k in ("anchor", "seg", "n", "start")]
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +147,7 @@ _FIRST = "anchor long, seg long, off int, len int, fdoc long, frow long, fstart
 def _resolver(index: Callable, window: int):
     """First starts of all windows of a shard's segments, as runs of equal shift."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "row", "start"], kind="stable")
+        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["doc", "row", "start"], kind="stable")
         n, doc, row, start = pdf["n"].to_numpy(np.int64), pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["start"].to_numpy()
         nth = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))  # the texts by number
         seg = np.repeat(np.arange(len(n)), n)
@@ -181,7 +185,7 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(ORPHAN)).alias("doc"), F.xxhash64("text").alias("row"), "doc_id", "text")
 
 
-def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Callable, index: Callable, window: int,
+def repeated_spans(steps: Steps, docs: DataFrame, units: Callable, cut: Callable, hashed: Callable, index: Callable, window: int,
                    gram: int, shard_units: int = SHARD_UNITS, max_variants: int = MAX_VARIANTS) -> DataFrame:
     """(doc, row, fdoc, frow, from, to, fstart): spans of (doc, row, text) whose windows first start elsewhere.
 
@@ -190,7 +194,8 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     (doc, row), so rows that share a doc must differ in row unless their texts are equal.
     units(bytes) gives 64-bit units, cut(bytes, spans) the content of spans of units,
     hashed(content) its units again, and index(contents, windows per content, number of
-    the text, start) for each window the number of the first equal one.
+    the text, start) for each window the number of the first equal one. The spans read
+    tables of steps.
     """
     def sized(df, n):
         return F.broadcast(df) if n <= BROADCAST_ROWS else df
@@ -201,7 +206,7 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     own = Window.partitionBy("anchor")  # the layout is there already, and copies are folded
     repeated = folded.withColumn("all", F.sum("copies").over(own)).withColumn("variants", F.count("*").over(own)).where("all > 1").select(
         "anchor", "seg", "n", "first.doc", "first.row", "first.start", "variants")
-    repeated = stored(repeated, "repeated-segments")
+    repeated = steps.stored(repeated, "repeated-segments")
 
     single = repeated.where("variants = 1").select(
         "anchor", "seg", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("doc").alias("fdoc"), F.col("row").alias("frow"), F.col("start").alias("fstart"))
@@ -213,21 +218,24 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     holders = docs.join(sized(ids, ids.count()), same, "left_semi")
     contents = holders.join(per_row, same).select("doc", "row", "text", "wanted").mapInArrow(
         _contents(cut), "anchor long, seg long, n int, doc long, row long, start long, content binary")
-    contents = stored(contents.dropDuplicates(["anchor", "seg"]), "segment-contents")
+    contents = steps.stored(contents, "segment-contents")
     sizes = several.agg(F.sum("len").alias("units")).collect()[0]["units"] or 0
     crowded = several.where(F.col("variants") > max_variants).select(F.col("anchor").alias("_a")).distinct()
+    crowded = sized(crowded, crowded.count())
     usual = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_anti")
     large = several.where(F.col("variants") * window > shard_units // 4).select(F.col("anchor").alias("_l")).distinct()
+    large = sized(large, large.count())
     dealt = F.concat(F.lit("s"), F.pmod(F.xxhash64("anchor"), F.lit(max(1, sizes // shard_units))))
     shard = F.when(F.col("_l").isNull(), dealt).otherwise(F.concat(F.lit("a"), "anchor"))  # large anchors have their own
     resolved = usual.join(large, F.col("anchor") == F.col("_l"), "left").withColumn("shard", shard).groupBy("shard").applyInPandas(_resolver(index, window), _FIRST)
-    split = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_semi").mapInArrow(
+    split = contents.join(crowded, F.col("anchor") == F.col("_a"), "left_semi").dropDuplicates(["anchor", "seg"]).mapInArrow(
         _windows(hashed, window), "anchor long, seg long, off int, w1 long, w2 long, doc long, row long, start long")
-    split = stored(split, "crowded-windows")
+    split = steps.stored(split, "crowded-windows")
     starts = split.groupBy(F.col("w1").alias("_1"), F.col("w2").alias("_2")).agg(first)
     alone = split.join(starts, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).select(
         "anchor", "seg", "off", F.lit(1).alias("len"), F.col("first.doc").alias("fdoc"), F.col("first.row").alias("frow"), F.col("first.start").alias("fstart"))
-    firsts = stored(single.unionByName(resolved).unionByName(alone), "first-starts")
+    firsts = steps.stored(single.unionByName(resolved).unionByName(alone), "first-starts")
+    steps.drop("segment-contents", "crowded-windows")
 
     anchors = repeated.select(F.col("anchor").alias("h")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(merged_filter(anchors, repeated.count(), MAX_BITS))
@@ -239,14 +247,20 @@ def repeated_spans(docs: DataFrame, units: Callable, cut: Callable, hashed: Call
     return elsewhere.select("doc", "row", "fdoc", "frow", at.alias("from"), (at + F.col("len") + F.lit(window - 1)).alias("to"), "fstart")
 
 
-def spans_by_row(spans: DataFrame) -> DataFrame:
+def spans_by_row(steps: Steps, spans: DataFrame) -> DataFrame:
     """(_doc, _row, spans, shared): each row's spans that start earlier, packed into one number each (a text has
-    fewer than 2^31 units), and those that first start in another row of the same doc, which is not earlier."""
+    fewer than 2^31 units), and those that first start in another row of the same doc, which is not earlier.
+
+    It is the only table of steps that is left: the texts are shuffled after this, and no segments beside them.
+    """
     earlier = (F.col("fdoc") < F.col("doc")) | (F.col("frow") == F.col("row"))
     packed = F.shiftleft(F.col("from").cast("long"), 31) + F.col("to")
     # sets, because equal rows of one doc_id find the same spans
-    return spans.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(
+    by_row = spans.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(
         F.collect_set(F.when(earlier, packed)).alias("spans"), F.collect_set(F.when(~earlier, F.struct(packed.alias("span"), "frow", "fstart"))).alias("shared"))
+    by_row = steps.stored(by_row, "spans-by-row")
+    steps.drop("repeated-segments", "first-starts")
+    return by_row
 
 
 def repeats_inside(shared: list[dict], window: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erashift.llm.anchors import keyed_rows, merged_spans, repeated_spans, spans_by_row
-from erashift.llm.common import texts, word_hashes
+from erashift.llm.common import Steps, texts, word_hashes
 
 WINDOW_WORDS, GRAM_WORDS = 50, 8
 
@@ -123,7 +123,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id, or have none, no one is earlier than another.
     """
     rows = keyed_rows(texts(docs, id_col, text_col))
-    spans = repeated_spans(rows.select("doc", "row", "text"), word_hashes, cut_words, word_hashes, automaton_index, WINDOW_WORDS, GRAM_WORDS, **sizes)
-    gone = spans_by_row(spans.where("fdoc < doc"))
+    steps = Steps(docs.sparkSession)
+    spans = repeated_spans(steps, rows.select("doc", "row", "text"), word_hashes, cut_words, word_hashes, automaton_index, WINDOW_WORDS, GRAM_WORDS, **sizes)
+    gone = spans_by_row(steps, spans.where("fdoc < doc"))
     return rows.join(gone, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left").select("doc", "doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erashift.llm.anchors import keyed_rows, merged_spans, repeated_spans, repeats_inside, spans_by_row
-from erashift.llm.common import mix, texts
+from erashift.llm.common import Steps, mix, texts
 
 WINDOW_BYTES, GRAM_BYTES = 100, 20
 MAX_VARIANTS = 8_000  # of at most 180 bytes each: 1.4 million units
@@ -121,9 +121,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have none, no one is earlier than another.
     """
     rows = keyed_rows(texts(docs, id_col, text_col))
-    spans = repeated_spans(rows.select("doc", "row", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES,
+    steps = Steps(docs.sparkSession)
+    spans = repeated_spans(steps, rows.select("doc", "row", "text"), byte_units, cut_bytes, byte_units, suffix_index, WINDOW_BYTES, GRAM_BYTES,
                            max_variants=max_variants, **sizes)
-    gone = spans_by_row(spans)
+    gone = spans_by_row(steps, spans)
     return rows.join(gone, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left").select(
         "doc", "doc_id", "text", "spans", "shared").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

@@ -259,3 +259,21 @@ def test_lines_of_many_rows_without_ids(spark, rows):
     got = line_dedup.line_dedup(docs)
     assert rows(got, "doc_id", "n_lines", "n_dropped") == sorted([(1, 20, 0)] + [(None, 3, 2)] * 60, key=repr)
     assert sorted(r[0] for r in got.where("doc_id is null").select("kept_text").collect()) == sorted(f"my own line, number {i}" for i in range(60))
+
+
+def test_substring_and_suffix_leave_no_shuffles_or_steps(docs, spark, tmp_path, monkeypatch):
+    """Of all steps the disk holds the table of spans, and no shuffle files, when the texts are joined with it."""
+    from erashift import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: {b.toString() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        env.blockManager().diskBlockManager().getAllBlocks()) if b.toString().startswith("shuffle_") and b.toString().endswith(".data")}
+    for op in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup):
+        before = shuffles()
+        op(docs)
+        left = shuffles() - before
+        assert len(left) <= 24, left  # those of the Bloom filter and of counts
+        assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["spans-by-row"]
+        for p in tmp_path.iterdir():
+            p.rename(tmp_path.parent / p.name)
